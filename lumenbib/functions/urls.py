@@ -135,3 +135,21 @@ def raw_page_links(page: Column | str) -> Column:
 
 def distinct_links(links: Column | str) -> Column:
     return ordered_distinct(F.transform(col(links), lambda u: strip(u)), clean=False)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def urljoin_list(base: pd.Series, links: pd.Series) -> pd.Series:
+    """List form of the RFC join for pages with dot segments; null rows stay null."""
+
+    def one(b: str | None, values) -> list[str] | None:
+        if b is None or values is None:
+            return None
+        out = []
+        for value in values:
+            try:
+                out.append(urljoin(b, value.strip()))
+            except ValueError:
+                out.append(value)
+        return out
+
+    return pd.Series([one(b, v) for b, v in zip(base, links)], dtype="object")
