@@ -122,6 +122,11 @@ def arxiv_id(c: Column | str) -> Column:
 # ---------------------------------------------------------------- lists
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it inside lambdas: a captured expression runs per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ordered_distinct(values: Column | str, clean: bool = True) -> Column:
     """Case-insensitive distinct in list order, first spelling kept.
 
@@ -131,9 +136,14 @@ def ordered_distinct(values: Column | str, clean: bool = True) -> Column:
     values = col(values)
     if clean:
         values = F.transform(values, lambda v: squeeze(v))
-    values = F.filter(values, lambda v: v.isNotNull() & (v != ""))
-    keys = F.transform(values, lambda v: F.lower(strip(v)))
-    return F.filter(values, lambda v, i: F.array_position(keys, F.lower(strip(v))) == i + 1)
+
+    def keyed(items: Column) -> Column:
+        return let(
+            F.transform(items, lambda v: F.lower(strip(v))),
+            lambda keys: F.filter(items, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1),
+        )
+
+    return let(F.filter(values, lambda v: v.isNotNull() & (v != "")), keyed)
 
 
 def no_nulls(values: Column | str) -> Column:

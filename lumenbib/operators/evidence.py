@@ -13,8 +13,7 @@ TITLE_CHARS, TEXT_CHARS = 240, 320
 WEAK_TEXT = "No strong evidence extracted from metadata."
 
 
-def matches_any(text: Column, terms: list[str] | Column) -> Column:
-    lowered = F.lower(text)
+def _found(text: Column, lowered: Column, terms: list[str] | Column) -> Column:
     if isinstance(terms, list):
         found = F.lit(False)
         for term in terms:
@@ -23,6 +22,16 @@ def matches_any(text: Column, terms: list[str] | Column) -> Column:
     return F.exists(terms, lambda t: term_in_raw_text(t, text, lowered))
 
 
+def matches_any(text: Column, terms: list[str] | Column) -> Column:
+    return _found(text, F.lower(text), terms)
+
+
+def matching(texts: Column, terms: list[str] | Column) -> Column:
+    """The texts of a list that hold a term; each text is lowered once."""
+    paired = F.transform(texts, lambda s: F.struct(s.alias("text"), F.lower(s).alias("low")))
+    return F.transform(F.filter(paired, lambda p: _found(p["text"], p["low"], terms)), lambda p: p["text"])
+
+
 def _item(source: str, text: Column, relevance: str, confidence: float) -> Column:
     return F.struct(
         F.lit(source).alias("source"),
@@ -40,12 +49,12 @@ def with_evidence(papers: DataFrame, terms: list[str] | Column) -> DataFrame:
         (title != "") & matches_any(title, terms),
         F.array(_item("title", F.substring(title, 1, TITLE_CHARS), "matched_topic", 0.9)),
     ).otherwise(nothing)
-    sentences = F.filter(split_sentences("abstract"), lambda s: matches_any(s, terms))
+    sentences = matching(split_sentences("abstract"), terms)
     by_text = F.transform(
         F.slice(sentences, 1, 3), lambda s: _item("abstract", F.substring(s, 1, TEXT_CHARS), "matched_topic", 0.75)
     )
     staged = papers.withColumn("_items", F.slice(F.concat(by_title, by_text), 1, 3))
-    keywords = F.filter(no_nulls("keywords"), lambda k: matches_any(k, terms))
+    keywords = matching(no_nulls("keywords"), terms)
     joined = missing_if_blank(F.substring(F.array_join(F.slice(keywords, 1, 6), "; "), 1, TEXT_CHARS))
     by_keyword = F.when(
         (F.size("_items") < 3) & joined.isNotNull(), F.array(_item("keywords", joined, "matched_topic", 0.7))

@@ -11,6 +11,7 @@ from lumenbib.functions.text import (
     CJK,
     col,
     detect_language,
+    let,
     missing_if_blank,
     no_nulls,
     non_blank,
@@ -128,10 +129,13 @@ def _rules(*rules: tuple[Column, list[str]]) -> Column:
 
 def _combined_queries(topic: Column, keywords: Column, shortest: int, most: int) -> Column:
     """The topic, then all pairs, then all triples of the first eight keywords, up to ``most``."""
-    top = _cut(keywords, 8)
     shapes = F.array(*[F.array(*[F.lit(i) for i in c]) for c in COMBINATIONS])
-    fitting = F.filter(shapes, lambda c: F.array_max(c) <= F.size(top))
-    joined = F.transform(fitting, lambda c: F.array_join(F.transform(c, lambda i: F.element_at(top, i)), " "))
+
+    def combine(top: Column) -> Column:
+        fitting = F.filter(shapes, lambda c: F.array_max(c) <= F.size(top))
+        return F.transform(fitting, lambda c: F.array_join(F.transform(c, lambda i: F.element_at(top, i)), " "))
+
+    joined = let(_cut(keywords, 8), combine)
     long_enough = F.filter(joined, lambda q: F.length(q) >= shortest)
     return ordered_distinct(_cut(F.concat(_if_present(topic), long_enough), most))
 
@@ -267,9 +271,12 @@ def plain_terms(topic: Column | str) -> Column:
 
 def _steps(values: str) -> Column:
     """Overlapping keyword triples that start at every second of the first eight keywords."""
-    top = _cut(values, 8)
-    starts = F.filter(F.array(*[F.lit(i) for i in (1, 3, 5, 7)]), lambda i: i <= F.size(top))
-    return F.transform(starts, lambda i: F.array_join(F.slice(top, i, F.lit(3)), " "))
+
+    def runs(top: Column) -> Column:
+        starts = F.filter(F.array(*[F.lit(i) for i in (1, 3, 5, 7)]), lambda i: i <= F.size(top))
+        return F.transform(starts, lambda i: F.array_join(F.slice(top, i, F.lit(3)), " "))
+
+    return let(_cut(values, 8), runs)
 
 
 def query_pool(provider: str, limit: int = 500) -> Column:

@@ -27,7 +27,7 @@ def feedback_label(label: Column | str = "human_label") -> Column:
 def feedback_score(raw: Column | str = "feedback_score", label: Column | str = "human_label") -> Column:
     """An explicit number clipped to 0..100, else the score of the label."""
     number = strip(raw).try_cast("double")
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), number))
+    clipped = F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)))
     name = feedback_label(label)
     by_label = F.coalesce(*[F.when(name == k, v) for k, v in LABEL_SCORES.items()])
     return F.coalesce(clipped, by_label)

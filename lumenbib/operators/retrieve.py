@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenbib.functions.text import non_blank, normalize_title, squeeze, words
 from lumenbib.operators.expand import concept_pool, query_pool
+from lumenbib.session import cut_lineage
 
 # Search modes in turn, share of each source, least share.
 MODES = ["default", "title_abstract", "title"]
@@ -199,7 +200,7 @@ MOST_HITS = max(high for _, high, _ in QUERY_LIMITS.values())
 
 def cut_to_quota(hits: DataFrame, quotas: dict[str, int], by: list[str] | None = None, order: list | None = None) -> DataFrame:
     """First rows of every source up to its quota. One literal bound per source keeps the cut local."""
-    w = Window.partitionBy(*(by or ["topic_id"]), "source").orderBy(*(order or ["q_order", "hit_rank"]))
+    w = Window.partitionBy(*(["topic_id"] if by is None else by), "source").orderBy(*(order or ["q_order", "hit_rank"]))
     largest = max(quotas.values())
     ranked = hits.withColumn("source_rank", F.row_number().over(w)).filter(F.col("source_rank") <= largest)
     quota = F.coalesce(*[F.when(F.col("source") == s, F.lit(n)) for s, n in quotas.items()], F.lit(0))
@@ -216,6 +217,7 @@ def retrieve(
     """Candidate papers of every topic: ``(topic_id, seq, matched_queries)`` over all sources."""
     sources = sources or list(SOURCE_SHARES)
     quotas = source_limits(total, sources)
+    expanded = cut_lineage(expanded)  # small, and read once per provider and role
     strict, lenient = None, None
     for name in sources:
         queries = provider_queries(expanded, name, quotas[name])

@@ -99,7 +99,8 @@ def json_body(c: Column | str) -> Column:
 
 def _score(raw: Column) -> Column:
     number = F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(raw.try_cast("double"))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), number))
+    # greatest and least skip nulls, so the null case is kept apart
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)))
 
 
 def parse_rubric(answer: Column | str) -> Column:

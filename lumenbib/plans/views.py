@@ -84,9 +84,8 @@ def journals_view(spark: SparkSession) -> DataFrame:
         ("Climate Policy", "Q2"),
         ("Sustainability", "Q3"),
     ]
-    return spark.createDataFrame(
-        [(i, name, quartile) for i, (name, quartile) in enumerate(rows)], "pos long, journal_name string, quartile string"
-    )
+    values = ", ".join(f"({i}, '{name}', '{quartile}')" for i, (name, quartile) in enumerate(rows))
+    return spark.sql(f"SELECT * FROM VALUES {values} AS journals(pos, journal_name, quartile)")
 
 
 def unpaywall_view(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +135,7 @@ def attempts_view(spark: SparkSession, folder: str) -> DataFrame:
     """Events as a log of link attempts: the event type is the source label."""
     return table(spark, folder, "events").select(
         F.col("event_id").alias("seq"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("source"),
         F.col("user_id").alias("paper_id"),
         (F.col("value") >= 50).alias("success"),
