@@ -265,7 +265,7 @@ def backfill(papers: DataFrame, payloads: DataFrame) -> DataFrame:
 
     def first(name: str) -> Column:
         value = missing_if_blank(name)
-        return F.min_by(value, F.when(value.isNotNull(), order)).alias("new_" + name)
+        return F.min_by(value, F.when(value.isNotNull(), F.struct(order, value))).alias("new_" + name)
 
     known = payloads.groupBy(normalize_doi("doi").alias("known_doi")).agg(first("landing_page_url"), first("pdf_url"))
     joined = papers.join(known, normalize_doi("doi") == F.col("known_doi"), "left")

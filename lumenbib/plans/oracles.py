@@ -527,9 +527,9 @@ SELECT grid.score, grid.bin, count(b.bin) AS papers FROM grid LEFT JOIN b USING
 ORACLES["score_averages"] = f"{RULES} SELECT {round2('avg(rule_score)')} AS rule_score_avg, {round2('avg(rule_score)')} AS final_score_avg FROM scored"
 ORACLES["link_counts"] = f"{P} SELECT count(pdf_url) AS with_pdf_url, 0::BIGINT AS downloaded FROM papers"
 DECIDED = "CASE WHEN rule_score >= 85 THEN 'core' WHEN rule_score >= 75 THEN 'important' WHEN rule_score >= 60 THEN 'background' WHEN rule_score >= 40 THEN 'peripheral' ELSE 'irrelevant' END"
-ORACLES["low_confidence"] = f"""{RULES}, {ANSWERS}, {FIRST_ANSWER} SELECT row_number() OVER (ORDER BY {ORDER}) AS rank, seq FROM scored JOIN firsts ON conv_id = seq
+ORACLES["low_confidence"] = f"""{RULES}, {ANSWERS}, {FIRST_ANSWER} SELECT row_number() OVER (ORDER BY {ORDER}) AS rank, seq FROM scored JOIN firsts ON conv_id = seq % 97
 WHERE j IS NOT NULL AND coalesce({safe_number('confidence')}, 0) < 50 ORDER BY rank LIMIT 20"""
-ORACLES["report_lists"] = f"""{RULES}, {RANKED}, {ANSWERS}, {FIRST_ANSWER}, t AS (SELECT ranked.*, j FROM ranked LEFT JOIN firsts ON conv_id = seq WHERE r <= 20),
+ORACLES["report_lists"] = f"""{RULES}, {RANKED}, {ANSWERS}, {FIRST_ANSWER}, t AS (SELECT ranked.*, j FROM ranked LEFT JOIN firsts ON conv_id = seq % 97 WHERE r <= 20),
 l AS (SELECT 'core' AS list, r, seq FROM t WHERE {DECIDED} = 'core' UNION ALL SELECT 'method', r, seq FROM t WHERE contains(json_extract_string(j, '$.decision'), 'method')
   UNION ALL SELECT 'data', r, seq FROM t WHERE contains(json_extract_string(j, '$.decision'), 'data')),
 k AS (SELECT list, row_number() OVER (PARTITION BY list ORDER BY r) AS list_rank, seq FROM l) SELECT * FROM k WHERE list_rank <= 10"""

@@ -40,7 +40,7 @@ def _at(i: Column, prefix: str, suffix: str = "") -> Column:
 
 
 def unpaywall_payload(payloads: DataFrame) -> DataFrame:
-    record = F.from_json("payload", f"struct<{UNPAYWALL}>".replace("struct<doi", "doi").rstrip(">") + ">")
+    record = F.from_json("payload", UNPAYWALL)
     return _rows(payloads, "unpaywall", unpaywall_links(record))
 
 
