@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenbib.functions.similarity import indel_ratio
 from lumenbib.functions.text import missing_if_blank, normalize_doi, normalize_title, strip
+from lumenbib.session import spread
 
 # Scores of the labels.
 LABEL_SCORES = {
@@ -19,6 +20,8 @@ LABEL_SCORES = {
     "unsure": 50.0,
 }
 
+UNBROKEN = 3
+
 
 def feedback_label(label: Column | str = "human_label") -> Column:
     return missing_if_blank(F.lower(strip(label)))
@@ -73,18 +76,25 @@ def _segments(title: Column, count: Column) -> Column:
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 92.0) -> DataFrame:
     """Pairs ``(title, feedback_title, ratio)`` of distinct titles with an indel ratio over the threshold.
 
-    Complete by pigeonhole: a pair allows at most ``d`` edits, so of ``d+1`` pieces of ``left.title``
-    one stands unbroken in ``right.feedback_title``, shifted by less than ``d``. Each left title
-    emits its few pieces; the (short) feedback side emits the places where they may stand.
+    Complete by pigeonhole: a pair allows at most ``d`` edits, so of ``d+3`` pieces of ``left.title``
+    three stand unbroken in ``right.feedback_title``, shifted by less than ``d`` (all but ``d`` where
+    a title has fewer characters). Each left title emits its few pieces; the (short) feedback side
+    emits the places where they may stand.
     """
     slack = 1 - threshold / 100.0
     stretch = (1 + slack) / (1 - slack)
-    most = F.floor(F.length("title") * (2 * slack / (1 - slack)))
-    pieces = left.select("title", F.length("title").alias("size"), F.inline(_segments(F.col("title"), (most + 1).cast("int"))))
+
+    def piece_count(size: Column) -> Column:
+        edits = F.floor(size * (2 * slack / (1 - slack)))
+        return F.least(edits + UNBROKEN, size).cast("int")
+
+    pieces = left.select(
+        "title", F.length("title").alias("size"), F.inline(_segments(F.col("title"), piece_count(F.length("title"))))
+    )
     size = F.length("feedback_title")
     lengths = F.sequence(F.ceil(size / stretch - 1e-9).cast("int"), F.floor(size * stretch + 1e-9).cast("int"))
-    places = right.select("feedback_title", size.alias("own"), F.explode(lengths).alias("size")).filter("size > 0")
-    parts = (F.floor(F.col("size") * (2 * slack / (1 - slack))) + 1).cast("int")
+    places = spread(right).select("feedback_title", size.alias("own"), F.explode(lengths).alias("size")).filter("size > 0")
+    parts = piece_count(F.col("size"))
     allowed = F.floor(slack * (F.col("size") + F.col("own")) + 1e-9)
     shift = F.col("own") - F.col("size")
     places = places.select(
@@ -101,7 +111,11 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 92.0) -
     places = places.select(
         "feedback_title", "size", "i", F.substring(F.col("feedback_title"), F.col("start") + F.col("shift") + 1, F.col("width")).alias("piece")
     )
-    pairs = pieces.join(places, ["size", "i", "piece"]).select("title", "feedback_title").distinct()
+    met = pieces.select("title", "size", "i", "piece").join(places.distinct(), ["size", "i", "piece"])
+    shared = met.groupBy("title", "feedback_title").agg(F.count(F.lit(1)).alias("shared"))
+    edits = F.floor(F.length("title") * (2 * slack / (1 - slack)))
+    surviving = F.greatest(F.lit(1), piece_count(F.length("title")) - edits)
+    pairs = shared.filter(F.col("shared") >= surviving).select("title", "feedback_title")
     scored = pairs.withColumn("ratio", indel_ratio("title", "feedback_title"))
     return scored.filter(F.col("ratio") >= threshold)
 

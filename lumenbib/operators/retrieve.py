@@ -218,18 +218,16 @@ def retrieve(
     sources = sources or list(SOURCE_SHARES)
     quotas = source_limits(total, sources)
     expanded = cut_lineage(expanded)  # small, and read once per provider and role
-    strict, lenient = None, None
+    # Without a year bound all providers search alike: one pass over the texts.
+    lenient_only = year_from is None
+    groups: dict[bool, DataFrame] = {}
     for name in sources:
         queries = provider_queries(expanded, name, quotas[name])
-        if name in ("OpenAlex", "Crossref"):
-            strict = queries if strict is None else strict.unionByName(queries)
-        else:
-            lenient = queries if lenient is None else lenient.unionByName(queries)
+        keep_undated = lenient_only or name not in ("OpenAlex", "Crossref")
+        groups[keep_undated] = groups[keep_undated].unionByName(queries) if keep_undated in groups else queries
     found = None
-    for queries, keep_undated in ((strict, False), (lenient, True)):
-        if queries is None:
-            continue
-        named = queries.withColumn("query_id", F.xxhash64("topic_id", "source", "q_order", "query", "mode"))
+    for keep_undated, queries in groups.items():
+        named = cut_lineage(queries.withColumn("query_id", F.xxhash64("topic_id", "source", "q_order", "query", "mode")))
         hits = top_hits(search(named, papers, year_from, keep_undated), "hits", "newest")
         found = hits if found is None else found.unionByName(hits)
     return with_match_trace(cut_to_quota(found, quotas))

@@ -17,6 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A text table; a file with fewer splits than cores is dealt out before the text is worked on."""
+    whole = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return whole.repartition(cores) if whole._jdf.rdd().getNumPartitions() < cores else whole
+
+
 def _pick(number: Column, *values: str | None) -> Column:
     """Value by ``number % len(values)``."""
     return F.get(F.array(*[F.lit(v) for v in values]), (number % len(values)).cast("int"))
@@ -27,7 +34,7 @@ def papers_view(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("doc_id")
     tokens = F.split(F.btrim(F.col("text"), F.lit(" \t\n\r")), r"[ \t\n\r]+")
     return conform(
-        table(spark, folder, "documents").select(
+        texts(spark, folder, "documents").select(
             n.alias("seq"),
             F.concat(F.lit("P"), n.cast("string")).alias("id"),
             F.array_join(F.slice(tokens, 1, 8), " ").alias("title"),
@@ -149,7 +156,7 @@ def attempts_view(spark: SparkSession, folder: str) -> DataFrame:
 def pages_view(spark: SparkSession, folder: str) -> DataFrame:
     """Landing pages; each third page gets a file link in its navigation."""
     extra = F.concat(F.lit('<a href="/files/'), F.col("page_id").cast("string"), F.lit('.pdf">x</a></nav>'))
-    return table(spark, folder, "pages").select(
+    return texts(spark, folder, "pages").select(
         "page_id",
         strip("url").alias("url"),
         F.when(F.col("page_id") % 3 == 0, F.replace(F.col("html"), F.lit("</nav>"), extra))

@@ -41,3 +41,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so that iterative plans stay short and lost executors are no issue."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *columns) -> DataFrame:
+    """Full-width shuffle ahead of a step that multiplies rows.
+
+    Adaptive execution merges partitions by their size in bytes, which starves steps whose input is
+    small and whose output is large. An explicit partition count is left alone.
+    """
+    return df.repartition(shuffle_width(df.sparkSession), *columns)
