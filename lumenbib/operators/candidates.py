@@ -253,8 +253,7 @@ def download_plan(checked: DataFrame, top_k: int = 5, by: list[str] | None = Non
     if by:
         stuck = checked.join(ready.select(*by).distinct(), by, "left_anti")
     else:
-        none_ready = ready.agg((F.count(F.lit(1)) == 0).alias("none_ready"))
-        stuck = checked.join(none_ready).filter("none_ready").drop("none_ready")
+        stuck = checked.filter(ready.agg(F.count(F.lit(1)) == 0).scalar())
     spare = head(stuck.filter("links > 0"), top_k, best_first(), by).drop("rank")
     return ready.unionByName(spare.withColumn("fallback", F.lit(True)))
 
@@ -305,9 +304,9 @@ def discovery_stats(papers: DataFrame, links: DataFrame, resolved: DataFrame | N
         F.count(F.lit(1)).alias("candidates_found"),
         F.count_distinct("seq", source_bucket("source")).alias("sources_with_candidates"),
     )
-    out = seen.join(found)
+    out = found.withColumn("papers_seen", seen.scalar())
     if resolved is not None:
-        out = out.join(resolved.agg(F.count(F.lit(1)).alias("title_doi_resolved")))
+        out = out.withColumn("title_doi_resolved", resolved.agg(F.count(F.lit(1))).scalar())
     return out
 
 

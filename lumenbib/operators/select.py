@@ -92,8 +92,8 @@ def select_papers(
 
 def selection_stats(scored: DataFrame, selected: DataFrame, threshold: float, minimum: int) -> DataFrame:
     passed = scored.agg(F.count_if(_score("final_score") >= threshold).alias("threshold_selected"))
-    chosen = selected.agg(F.count(F.lit(1)).alias("selected_count"))
-    return passed.join(chosen).withColumn("fallback_topk_used", F.col("threshold_selected") < minimum)
+    chosen = selected.agg(F.count(F.lit(1)))
+    return passed.withColumn("selected_count", chosen.scalar()).withColumn("fallback_topk_used", F.col("threshold_selected") < minimum)
 
 
 def card_papers(
@@ -124,8 +124,7 @@ def card_papers(
         pool = pool.join(selected.select(*by).distinct().withColumn("has_selected", F.lit(True)), by, "left")
         some = F.coalesce("has_selected", F.lit(False))
     else:
-        pool = pool.join(selected.limit(1).agg((F.count(F.lit(1)) > 0).alias("has_selected")))
-        some = F.col("has_selected")
+        some = selected.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
     pool = pool.filter(some | (_score("final_score") >= threshold)).drop("has_selected")
     both = first.drop("rank").unionByName(head(pool, top_k, order, by).drop("rank"))
     return head(both, top_k, [F.col("card_group").asc(), *order], by, "card_rank")

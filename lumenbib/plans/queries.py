@@ -219,8 +219,7 @@ def title_dedup_fuzzy(spark, sf):
 
 @query
 def merge_sources(spark, sf):
-    p = dedup.cut_candidates(papers(spark, sf), 1500)
-    merged = dedup.merge_papers(p)
+    merged = dedup.merge_papers(papers(spark, sf))
     return merged.select("seq", "id", "title", "doi", "source_database", "source_count", joined("keywords"))
 
 
@@ -319,8 +318,8 @@ def year_filters(spark, sf):
 
 def similarity(spark, sf):
     e = v.table(spark, sf, "embeddings")
-    topic = e.filter("vec_id = 0").agg(F.first("embedding").alias("topic_vector"))
-    both = e.join(topic)
+    topic = e.filter("vec_id = 0").agg(F.min("embedding")).scalar()
+    both = e.withColumn("topic_vector", topic)
     return both.select("vec_id", score.similarity_score(F.col("topic_vector"), F.col("embedding")).alias("embedding_score"))
 
 
