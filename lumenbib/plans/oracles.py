@@ -9,6 +9,7 @@ from lumenbib.config import DEFAULTS
 from lumenbib.operators.candidates import ATTEMPTED, SOURCE_PRIORITY
 from lumenbib.operators.evidence import WEAK_TEXT
 from lumenbib.operators.expand import CHINESE_POOL, COMBINATIONS, RELATED_TERMS
+from lumenbib.operators.report import FLAT_COLUMNS
 from lumenbib.operators.rubric import RELEVANCE_TEMPLATE, RUBRIC_TEMPLATE
 from lumenbib.functions.urls import LISTING_MARKERS, PAGE_PATTERNS
 from lumenbib.plans.queries import PHRASES, TERMS, TOPIC, YEAR
@@ -606,3 +607,45 @@ m AS (SELECT query_id, seq, round(0.30e0 * (100e0 * len(list_filter(ws, lambda w
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, seq) AS hit_rank FROM m) SELECT * FROM r WHERE hit_rank <= 20"""
 
 assert DEFAULTS["weights"]["relevance"] == 0.40
+
+# ---------------------------------------------------------------- wide outputs
+
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&middot;": "·", "&copy;": "©", "&amp;": "&"}
+PAGE_TEXT = "regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')"
+for _name, _char in ENTITIES.items():
+    PAGE_TEXT = f"replace({PAGE_TEXT}, {lit(_name)}, {lit(_char)})"
+ORACLES["page_text"] = f"WITH {PAGES} SELECT page_id, {squeeze(PAGE_TEXT)} AS text FROM pg"
+
+RULE_STATS = f"""SELECT count(*) AS rule_scored, count(*) FILTER (WHERE rule_score >= 55) AS rule_passed,
+  {round2('avg(rule_score)')} AS rule_score_avg, {round2('max(rule_score)')} AS rule_score_max FROM scored"""
+ORACLES["diagnostics_json"] = f"""{RULES}, {OA}, {KEYED}, s1 AS ({RULE_STATS}), s2 AS ({OA_STATS}),
+c AS (SELECT count(*) AS b, count(DISTINCT gid) + count(*) FILTER (WHERE gid IS NULL) AS a FROM keyed),
+s3 AS (SELECT b AS before, a AS after, greatest(0, b - a)::BIGINT AS removed FROM c)
+SELECT to_json({{'scoring': s1, 'unpaywall': s2, 'deduplication': s3}})::VARCHAR AS value FROM s1, s2, s3"""
+
+EVIDENCE_TEXT = "array_to_string(list_transform(items, lambda x: regexp_replace(regexp_replace(x, '^[a-z]+\\|', ''), '\\|(matched_topic|weak)$', '')), ' | ')"
+FLAT: dict[str, str] = {
+    "paper_id": "s.id",
+    "final_score": "fs",
+    "final_decision": DECIDED.replace("rule_score", "fs"),
+    "final_confidence": round2("greatest(35e0, least(95e0, 40e0 + fs * 0.6e0))"),
+    "rule_score": "rule_score",
+    "evidence": EVIDENCE_TEXT,
+    "usable_for": "''",
+    "labels": "replace(labels, '|', '; ')",
+    "title_match_score": round2("m_title"),
+    "abstract_match_score": round2("m_abstract"),
+    "keyword_match_score": round2("m_keyword"),
+    "phrase_match_score": round2("m_phrase"),
+    "fuzzy_match_score": "0e0",
+    **{c: f"s.{c}" for c in ("title", "year", "journal", "doi", "citation_count", "open_access_status", "pdf_url", "landing_page_url", "source_database", "paper_type", "primary_topic")},
+    **{c: f"coalesce(array_to_string(s.{c}, ', '), '')" for c in ("authors", "matched_queries", "keywords", "concepts", "topics")},
+    "source_count": "1::INT",
+    "download_candidate_count": "0::BIGINT",
+    "download_attempts": "0::BIGINT",
+    "cnki_download_count": "NULL::INT",
+    "cnki_restricted": "NULL::BOOLEAN",
+}
+NUMBERS = {"llm_score", "llm_final_score", "llm_confidence", "human_feedback_score", *FLAT_COLUMNS[8:16], *FLAT_COLUMNS[22:26]}
+ORACLES["flat_table"] = f"""{RULES}, {EVIDENCE}, fin AS (SELECT *, {round2('(0e0 + rule_score * 0.40e0) / (0e0 + 0.40e0)')} AS fs FROM scored)
+SELECT {', '.join(f"{FLAT.get(c, 'NULL::DOUBLE' if c in NUMBERS else 'NULL::VARCHAR')} AS {c}" for c in FLAT_COLUMNS)} FROM fin s JOIN (SELECT seq AS ev_seq, items FROM ev) e ON ev_seq = s.seq"""
