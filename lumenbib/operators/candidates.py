@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenbib.functions.similarity import matching_blocks_ratio
 from lumenbib.functions.text import arxiv_id, missing_if_blank, normalize_doi, normalize_title, source_bucket, strip
-from lumenbib.functions.urls import distinct_links, is_plausible_pdf_url, join_url, raw_page_links, url_policy
+from lumenbib.functions.urls import distinct_links, is_plausible_pdf_url, raw_page_links, url_policy
 from lumenbib.operators.retrieve import search, top_hits
 from lumenbib.operators.select import best_first, head
 

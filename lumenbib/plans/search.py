@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenbib.config import scoring_config
-from lumenbib.operators.dedup import cut_candidates, merge_papers
+from lumenbib.operators.dedup import merge_papers
 from lumenbib.operators.enrich import overlay_unpaywall, with_quartile
 from lumenbib.operators.evidence import with_evidence
 from lumenbib.operators.expand import expand_topics, scoring_lists
@@ -16,7 +16,7 @@ from lumenbib.operators.feedback import apply_feedback
 from lumenbib.operators.retrieve import retrieve
 from lumenbib.operators.rubric import apply_rubric, ask_model, parse_rubric, prompt_keywords, rubric_prompt, split_budget
 from lumenbib.operators.score import final_scores, rule_scores
-from lumenbib.operators.select import rubric_candidates, select_papers
+from lumenbib.operators.select import head, rubric_candidates, select_papers
 from lumenbib.session import cut_lineage
 
 EMPTY_PARTS = {
@@ -79,6 +79,7 @@ def search_topics(
     expanded = expand_topics(topics)
     hits = retrieve(expanded, merged, total)
     found = merged.drop("matched_queries").join(hits, "seq")
+    found = head(found, total, [F.col("seq").asc()], ["topic_id"]).drop("rank")
     if snapshot is not None:
         found = overlay_unpaywall(found, snapshot)
     scored = cut_lineage(score_topics(with_quartile(found, journals), expanded, as_of_year, config))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lumenbib.functions import text as tx
 from lumenbib.operators import candidates as ca
-from lumenbib.plans import views as v
 from lumenbib.plans.queries import joined, papers, query
 from lumenbib.sources import payloads as pl
 from lumenbib.sources import records as rd
