@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenbib.llm import packing, sentencepieces, simhash, vectors, warc
+from lumenbib.llm import licenses, merkle, packing, sentencepieces, simhash, vectors, warc
 from lumenbib.llm.common import table
 
 QUERIES = {}
@@ -61,3 +61,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents"))).drop("spans")
