@@ -19,3 +19,15 @@ def spread_small(df: DataFrame, width: int | None = None) -> DataFrame:
     """A table of fewer splits than cores is dealt out, as the step after it is heavy."""
     cores = width or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``bound`` labelled documents outside the held-out quarter.
+
+    The bound takes the smallest hashes of the ids, a choice that depends on no value but the id. Rows without a
+    label, and ids with contradicting ones, teach nothing. The ids are broadcast: ``bound`` limits them.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    clear = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).filter("label = most")
+    chosen = clear.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenbib.llm import licenses, merkle, packing, sentencepieces, simhash, vectors, warc
+from lumenbib.llm import licenses, merkle, packing, quality, sentencepieces, simhash, vectors, warc
 from lumenbib.llm.common import table
 
 QUERIES = {}
@@ -71,3 +71,8 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents"))).drop("spans")
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
