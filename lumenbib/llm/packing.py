@@ -30,25 +30,55 @@ from lumenbib.session import cut_lineage, shuffle_width
 
 CAPACITY = 4096
 END_ID = 1
+JOINED, KEPT = 4096, 500_000
+MARKS = ".,;:!?"
 
 
 @functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> Memo:
-    """Ids of blank-free words as little-endian bytes. The tokenizer never joins across a blank or a line end."""
+    """Ids of blank-free words as little-endian bytes.
+
+    The tokenizer never joins across a blank or a line end, nor a letter with a mark behind it: words that differ in
+    that mark alone share their ids.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
 
     def compute(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)]
-
-    return Memo(compute)
+        out = []
+        for k in range(0, len(words), JOINED):  # one call for many words: a call a word costs more than its merges
+            part = words[k : k + JOINED]
+            found = model.encode(" ".join(part), add_special_tokens=False)
+            firsts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            places = np.array([a for a, _ in found.offsets], np.int64)
+            edges = (4 * np.searchsorted(places, firsts)).tolist()
+            whole = np.array(found.ids, "<u4").tobytes()
+            out += [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        return out
+
+    def stem_ids(words: list[str]) -> list[bytes]:
+        """A plain lower-case ASCII word is one token group of the tokenizer; its model takes it as it is."""
+        plain, merge = [w.isascii() and w.isalpha() and w.islower() for w in words], model.model.tokenize
+        rest = iter(compute([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [np.array([t.id for t in merge(w)], "<u4").tobytes() if p else next(rest) for w, p in zip(words, plain, strict=True)]
+
+    stems, marks = Memo(stem_ids, KEPT), dict(zip(MARKS, compute(list(MARKS)), strict=True))
+
+    def with_marks(words: list[str]) -> list[bytes]:
+        words = [w.lower() if w.isascii() else w for w in words]
+        ends = [w.isascii() and w[-1:] in marks and w[-2:-1].isalpha() for w in words]
+        found = stems([w[:-1] if e else w for w, e in zip(words, ends, strict=True)])
+        return [x + marks[w[-1]] if e else x for x, w, e in zip(found, words, ends, strict=True)]
+
+    return Memo(with_marks, KEPT)
 
 
 def text_ids(texts: list[str], known: Memo, end_id: int = END_ID) -> Iterator[bytes]:
     """Ids of each text and the end id, four bytes each."""
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
+    # The tokenizer lower-cases after composing characters, which only ASCII texts may have done sooner.
+    parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
     found, k, end = known([w for p in parts for w in p]), 0, np.array([end_id], "<u4").tobytes()
     for p in parts:
         yield b"".join(found[k : k + len(p)]) + end
