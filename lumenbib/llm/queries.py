@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenbib.llm import langid, licenses, merkle, packing, quality, sentencepieces, simhash, vectors, warc
+from lumenbib.llm import langid, licenses, merkle, packing, quality, sentencepieces, simhash, toxicity, vectors, warc
 from lumenbib.llm.common import table
 
 QUERIES = {}
@@ -81,3 +81,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
