@@ -31,3 +31,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     clear = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).filter("label = most")
     chosen = clear.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` does not have, upper and lower case alike."""
+    have = {c.lower() for c in df.columns}
+    while wish.lower() in have:
+        wish = f"_{wish}"
+    return wish

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbib.llm.common import spread_small
+from lumenbib.llm.common import free_name, spread_small
 from lumenbib.llm.forest import LocalClasses, components
 from lumenbib.llm.tiles import TILE, per_group, tile_groups
 from lumenbib.session import cut_lineage
@@ -51,8 +51,8 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, words: int = WORDS, key: str = "doc_id") -> DataFrame:
+    """(key, fp): the fingerprint as a signed 64-bit number."""
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -60,8 +60,8 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             own = np.array([fingerprint(t, words) for t in batch.fillna("")], np.uint64)
             yield pd.Series(own.view(np.int64))
 
-    rows = spread_small(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    return rows.select("doc_id", run("text").alias("fp"))
+    rows = docs.select(key, F.col("text").cast("string").alias("text"))
+    return rows.select(key, run("text").alias("fp"))
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, upper: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -109,13 +109,36 @@ def links(points: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return per_group(groups, _link_group(radius), "a long, b long")
 
 
+def classes(points: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(fp, root) for distinct fingerprints ``fp``: the smallest fingerprint of its component."""
+    roots = components(links(points.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
+    return points.select("fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Per document: ``doc_id``, ``fp``, ``fingerprint`` (16 hexadecimal digits), ``component_id``."""
-    prints = cut_lineage(fingerprints(docs, words))
+    prints = cut_lineage(fingerprints(spread_small(docs.select("doc_id", "text")), words))
     points = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(points.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
-    rooted = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = points.join(classes(points, radius, tile), "fp")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    own = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(classes, "fp").select("doc_id", "fp", digits.alias("fingerprint"), "component_id")
+    return prints.join(own, "fp").select("doc_id", "fp", digits.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """``docs`` with one row of each component: its smallest id, null ids last, the first row of equal ids.
+
+    ``docs`` must be a table that reads the same way twice, as rows are told apart by their place in it. Only the
+    places of rows that go are joined to the texts.
+    """
+    place = free_name(docs, "place")
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    prints = fingerprints(placed.select("doc_id", "text", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", place).alias("own")), words, "own")
+    prints = cut_lineage(prints)
+    points = cut_lineage(prints.groupBy("fp").agg(F.min("own").alias("first")))
+    rooted = points.join(classes(points, radius, tile), "fp")
+    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    firsts = rooted.join(heads, "root").select("fp", F.col(f"head.{place}").alias("head"))
+    gone = prints.join(firsts, "fp").filter(F.col(f"own.{place}") != F.col("head")).select(F.col(f"own.{place}").alias(place))
+    return placed.join(gone, place, "left_anti").select(*docs.columns)

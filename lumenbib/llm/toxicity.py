@@ -28,7 +28,7 @@ from lumenbib.llm.common import held_out, labelled_sample, spread_small
 from lumenbib.llm.linear import Scale, fit_hinge, fit_scale, rows_of
 from lumenbib.llm.words import Memo
 
-BOUND = 12000  # labelled documents that voters, label model and classifier are fitted on, at most
+BOUND = 10000  # labelled documents that voters, label model and classifier are fitted on, at most
 BITS = 20
 PREFIXES = (4, 5, 6)
 KINDS = 1 + len(PREFIXES)  # whole words, and prefixes by length
@@ -104,7 +104,7 @@ def first_copies(rows: list[np.ndarray]) -> np.ndarray:
 
 def strength(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     """Smoothed log-odds of each feature between the classes less 2.5 standard errors; copies count once."""
-    counts = [np.zeros(SIZE), np.zeros(SIZE)]
+    counts = [np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)]
     for own, y in zip(rows, positive, strict=True):
         counts[int(y)][own] += 1
     up, down = int(positive.sum()), int((~positive).sum())
