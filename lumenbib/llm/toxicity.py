@@ -49,7 +49,7 @@ PATTERNS = [
     re.compile(r"(\w)\1{3,}"),
     re.compile(r"\b(?i:shut up|go away|get lost|hate you)\b"),
 ]
-STRENGTHS = (0.5, 1.2, 2.0)  # least log-odds, less 2.5 standard errors, of a lexicon voter's terms
+STRENGTHS = (0.8, 1.6, 2.6)  # least log-odds, less 2.5 standard errors, of a lexicon voter's terms
 LEAST_DOCS = 4
 SKETCH = 4
 
