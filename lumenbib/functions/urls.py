@@ -29,9 +29,17 @@ PAGE_PATTERNS = [
     r"""(?i)window\.open\(["']([^"']*?\.pdf[^"']*?)["']""",
     r"""(?i)(?:location|href)\s*=\s*["']([^"']*?\.pdf[^"']*?)["']""",
     r"""(?i)<(?:embed|iframe)[^>]*src=["']([^"']*?\.pdf[^"']*?)["']""",
-    r"""(?i)(?:href|src)=["']([^"']+)["']""",
 ]
 
+# Tags whose attributes hold links, those attributes (the first present of a group counts), entities of URLs.
+LINK_TAG = r"(?i)<(?:a|iframe|embed|link)[ \t\r\n][^>]*>"
+LINK_ATTRIBUTES = [
+    [r"""(?i)[ \t\r\n]href\s*=\s*["']([^"']+)["']""", r"""(?i)[ \t\r\n]src\s*=\s*["']([^"']+)["']"""],
+    [r"""(?i)[ \t\r\n]data-pdf-url\s*=\s*["']([^"']+)["']"""],
+    [r"""(?i)[ \t\r\n]data-download-url\s*=\s*["']([^"']+)["']"""],
+]
+ENTITIES = {"&#38;": "&", "&#x26;": "&", "&amp;": "&"}
+
 
 def is_http_url(c: Column | str) -> Column:
     return F.coalesce(col(c).rlike(r"(?i)^[\x00-\x20]*https?:"), F.lit(False))
@@ -127,10 +135,26 @@ def join_url(base: Column | str, link: Column | str) -> Column:
     return F.coalesce(by_hand, resolve_link(base, link))
 
 
+def tag_links(page: Column) -> Column:
+    """Links in attributes of link tags in document order, entities resolved."""
+
+    def found(tag: Column) -> Column:
+        return F.array(*[F.coalesce(*[missing_if_blank(F.regexp_extract(tag, a, 1)) for a in group]) for group in LINK_ATTRIBUTES])
+
+    def resolved(link: Column) -> Column:
+        for entity, char in ENTITIES.items():
+            link = F.replace(link, F.lit(entity), F.lit(char))
+        return link
+
+    links = F.flatten(F.transform(F.regexp_extract_all(page, F.lit(LINK_TAG), F.lit(0)), found))
+    return F.transform(F.filter(links, lambda u: u.isNotNull()), resolved)
+
+
 def raw_page_links(page: Column | str) -> Column:
-    """Every link on a page by all patterns: pattern order first, then position."""
+    """Every link on a page: by pattern order, then position, then what the link tags hold."""
     page = F.coalesce(col(page), F.lit(""))
-    return F.flatten(F.array(*[F.regexp_extract_all(page, F.lit(p), F.lit(1)) for p in PAGE_PATTERNS]))
+    by_pattern = [F.regexp_extract_all(page, F.lit(p), F.lit(1)) for p in PAGE_PATTERNS]
+    return F.flatten(F.array(*by_pattern, tag_links(page)))
 
 
 def distinct_links(links: Column | str) -> Column:

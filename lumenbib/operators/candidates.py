@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenbib.functions.similarity import matching_blocks_ratio
 from lumenbib.functions.text import arxiv_id, missing_if_blank, normalize_doi, normalize_title, source_bucket, strip
 from lumenbib.functions.urls import distinct_links, is_plausible_pdf_url, raw_page_links, url_policy
+from lumenbib.operators.enrich import spread_null
 from lumenbib.operators.retrieve import search, top_hits
 from lumenbib.operators.select import best_first, head
 
@@ -266,8 +267,8 @@ def backfill(papers: DataFrame, payloads: DataFrame) -> DataFrame:
         value = missing_if_blank(name)
         return F.min_by(value, F.when(value.isNotNull(), F.struct(order, value))).alias("new_" + name)
 
-    known = payloads.groupBy(normalize_doi("doi").alias("known_doi")).agg(first("landing_page_url"), first("pdf_url"))
-    joined = papers.join(known, normalize_doi("doi") == F.col("known_doi"), "left")
+    known = payloads.filter(normalize_doi("doi").isNotNull()).groupBy(normalize_doi("doi").alias("known_doi")).agg(first("landing_page_url"), first("pdf_url"))
+    joined = papers.join(known, spread_null(normalize_doi("doi"), F.col("seq")) == F.col("known_doi"), "left")
     return joined.withColumns(
         {c: F.coalesce(missing_if_blank(c), F.col("new_" + c)) for c in ("landing_page_url", "pdf_url")}
     ).drop("known_doi", "new_landing_page_url", "new_pdf_url")

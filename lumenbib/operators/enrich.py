@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from lumenbib.functions.text import missing_if_blank, normalize_doi, normalize_journal
 
 
+def spread_null(key: Column, salt: Column, parts: int = 4096) -> Column:
+    """A left join's key whose nulls go to many tasks; the stand-ins hold a blank and so meet no normalised key."""
+    return F.coalesce(key, F.concat(F.lit(" none "), F.pmod(F.xxhash64(salt), F.lit(parts)).cast("string")))
+
+
 def journal_table(journals: DataFrame) -> DataFrame:
     """``(journal_key, quartile)``; the last row of a repeated name wins."""
     named = journals.filter(missing_if_blank("journal_name").isNotNull())
@@ -37,9 +42,12 @@ def overlay_unpaywall(papers: DataFrame, snapshot: DataFrame) -> DataFrame:
     record = snapshot.select(
         normalize_doi("doi").alias("oa_doi"),
         F.struct("is_oa", "oa_status", "best_oa_location", "oa_locations").alias("unpaywall"),
-    )
+    ).filter("oa_doi IS NOT NULL")
+    # Two spellings of a DOI are one record: an open one first, then the one with the larger JSON form.
+    order = F.struct(F.coalesce(F.col("unpaywall.is_oa"), F.lit(False)), F.to_json("unpaywall"))
+    record = record.groupBy("oa_doi").agg(F.max_by("unpaywall", order).alias("unpaywall"))
     keyed = papers.withColumn("doi_norm", normalize_doi("doi"))
-    joined = keyed.join(record, F.col("doi_norm") == F.col("oa_doi"), "left")
+    joined = keyed.join(record, spread_null(F.col("doi_norm"), F.col("seq")) == F.col("oa_doi"), "left")
     is_oa = F.coalesce(F.col("unpaywall.is_oa"), F.lit(False))
     best = F.col("unpaywall.best_oa_location")
 

@@ -7,8 +7,6 @@ is checked on what comes back. Frequent words never drive the join.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +48,21 @@ def source_limits(total: int, sources: list[str], cnki_limit: int = 100) -> dict
     return limits
 
 
-def per_query_limit(provider: str, limit: int, queries: Column) -> Column:
-    """Hits kept per query: the limit spread over the queries plus a margin, inside bounds."""
+def per_query_limit(provider: str, limit: int, queries: Column, most: int | None = None) -> Column:
+    """Hits kept per query: the limit spread over the queries plus a margin, inside bounds; ``most`` is an upper bound."""
     low, high, margin = QUERY_LIMITS.get(provider, (10, 100, 10))
+    high = most or high
     spread = F.ceil(F.lit(float(limit)) / F.greatest(F.lit(1), queries)) + margin
     return F.greatest(F.lit(low), F.least(F.lit(high), spread)).cast("int")
 
 
-def provider_queries(expanded: DataFrame, provider: str, limit: int = 500) -> DataFrame:
+def provider_queries(expanded: DataFrame, provider: str, limit: int = 500, most: int | None = None) -> DataFrame:
     """``(topic_id, source, q_order, query, mode, trace, hits, newest)`` for one provider."""
     pool = expanded.select("topic_id", query_pool(provider, limit).alias("pool"), concept_pool(max(6, limit // 5)).alias("concepts"))
     main = pool.select(
         "topic_id", F.size("pool").alias("n"), F.posexplode("pool").alias("i", "query"), F.lit(provider).alias("source")
     )
-    limit_here = per_query_limit(provider, limit, F.col("n"))
+    limit_here = per_query_limit(provider, limit, F.col("n"), most)
     if provider != "OpenAlex":
         return main.select(
             "topic_id",
@@ -181,21 +180,20 @@ def search(queries: DataFrame, papers: DataFrame, year_from: int | None = None,
     return met.filter(own_source & matched).select(*queries.columns, "seq", "year", relevance.alias("relevance"))
 
 
-def top_hits(hits: DataFrame, limit: str | int = "hits", newest: str | None = None) -> DataFrame:
+def top_hits(hits: DataFrame, limit: str | int = "hits", newest: str | None = None, largest: int | None = None) -> DataFrame:
     """Best hits per query by relevance (newest first for concept queries), then arrival order.
 
-    The rank is cut at the largest limit before the shuffle, so a query that matches a large part
-    of the table sends only its best rows.
+    A literal limit is cut before the shuffle, so a query that matches a large part of the table sends
+    only its best rows; for a limit column that takes its ``largest`` value.
     """
     by_year = F.when(F.col(newest), F.coalesce("year", F.lit(0))).otherwise(0) if newest else F.lit(0)
     w = Window.partitionBy("query_id").orderBy(by_year.desc(), F.col("relevance").desc(), "seq")
     ranked = hits.withColumn("hit_rank", F.row_number().over(w))
     if isinstance(limit, int):
         return ranked.filter(F.col("hit_rank") <= limit)
-    return ranked.filter(F.col("hit_rank") <= MOST_HITS).filter(F.col("hit_rank") <= F.col(limit))
-
-
-MOST_HITS = max(high for _, high, _ in QUERY_LIMITS.values())
+    if largest is not None:
+        ranked = ranked.filter(F.col("hit_rank") <= largest)
+    return ranked.filter(F.col("hit_rank") <= F.col(limit))
 
 
 def cut_to_quota(hits: DataFrame, quotas: dict[str, int], by: list[str] | None = None, order: list | None = None) -> DataFrame:
@@ -213,8 +211,12 @@ def retrieve(
     total: int = 1500,
     sources: list[str] | None = None,
     year_from: int | None = None,
+    most: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Candidate papers of every topic: ``(topic_id, seq, matched_queries)`` over all sources."""
+    """Candidate papers of every topic: ``(topic_id, seq, matched_queries)`` over all sources.
+
+    ``most`` sets a source's upper bound of hits per query.
+    """
     sources = sources or list(SOURCE_SHARES)
     quotas = source_limits(total, sources)
     expanded = cut_lineage(expanded)  # small, and read once per provider and role
@@ -222,13 +224,14 @@ def retrieve(
     lenient_only = year_from is None
     groups: dict[bool, DataFrame] = {}
     for name in sources:
-        queries = provider_queries(expanded, name, quotas[name])
+        queries = provider_queries(expanded, name, quotas[name], (most or {}).get(name))
         keep_undated = lenient_only or name not in ("OpenAlex", "Crossref")
         groups[keep_undated] = groups[keep_undated].unionByName(queries) if keep_undated in groups else queries
     found = None
     for keep_undated, queries in groups.items():
         named = cut_lineage(queries.withColumn("query_id", F.xxhash64("topic_id", "source", "q_order", "query", "mode")))
-        hits = top_hits(search(named, papers, year_from, keep_undated), "hits", "newest")
+        largest = named.agg(F.max("hits")).first()[0]  # of a small table that is already there
+        hits = top_hits(search(named, papers, year_from, keep_undated), "hits", "newest", largest)
         found = hits if found is None else found.unionByName(hits)
     return with_match_trace(cut_to_quota(found, quotas))
 
@@ -241,9 +244,3 @@ def with_match_trace(hits: DataFrame) -> DataFrame:
         .agg(traces.alias("traces"))
         .select("topic_id", "seq", F.array_distinct(F.transform("traces", lambda t: t["trace"])).alias("matched_queries"))
     )
-
-
-def hits_per_query(limit: int, queries: int, provider: str) -> int:
-    """Driver-side twin of :func:`per_query_limit` for a known pool size."""
-    low, high, margin = QUERY_LIMITS[provider]
-    return max(low, min(high, math.ceil(limit / max(1, queries)) + margin))

@@ -11,7 +11,8 @@ from lumenbib.operators.evidence import WEAK_TEXT
 from lumenbib.operators.expand import CHINESE_POOL, COMBINATIONS, RELATED_TERMS
 from lumenbib.operators.report import FLAT_COLUMNS
 from lumenbib.operators.rubric import RELEVANCE_TEMPLATE, RUBRIC_TEMPLATE
-from lumenbib.functions.urls import LISTING_MARKERS, PAGE_PATTERNS
+from lumenbib.functions.text import ARXIV_ID, ARXIV_URL
+from lumenbib.functions.urls import ENTITIES, LINK_ATTRIBUTES, LINK_TAG, LISTING_MARKERS, PAGE_PATTERNS
 from lumenbib.plans.queries import PHRASES, TERMS, TOPIC, YEAR
 
 ORACLES: dict[str, str] = {}
@@ -159,15 +160,15 @@ ORACLES["topic_tokens"] = f"""{P} SELECT seq,
   array_to_string(list_filter(regexp_extract_all(lower(title), '{TOKEN}'), lambda t: length(t) > 2), '|') AS tokens,
   len(list_filter(regexp_extract_all(lower(abstract), '{TOKEN}'), lambda t: length(t) > 2))::BIGINT AS abstract_tokens,
   len(list_distinct(list_filter(string_split({norm('abstract')}, ' '), lambda w: w <> '')))::BIGINT AS vocabulary,
-  array_to_string({dedupe(f"string_split({norm('abstract')}, ' ')[1:40]")}, ' ') AS first_words FROM papers"""
+  md5(array_to_string({dedupe(f"string_split({norm('abstract')}, ' ')")}, ' ')) AS words_md5 FROM papers"""
 
 SENTENCES = f"""list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(abstract, ''), '\\.{WS}+', '.' || chr(1), 'g'),
   '[。！？!?;\\n\\x01]'), lambda s: {squeeze('s')}), lambda s: s <> '')"""
 ORACLES["sentences"] = f"""{P}, s AS (SELECT seq, {SENTENCES} AS list FROM papers)
 SELECT seq, (i - 1)::BIGINT AS pos, list[i] AS sentence FROM s, unnest(range(1, len(list) + 1)) AS u(i)"""
-ORACLES["query_sanitize"] = f"{P} SELECT seq, {squeeze("regexp_replace(left(abstract, 200), '[,:]', ' ', 'g')")} AS clean FROM papers"
+ORACLES["query_sanitize"] = f"{P} SELECT seq, {squeeze("regexp_replace(abstract, '[,:]', ' ', 'g')")} AS clean FROM papers"
 
-WORD = "regexp_extract(text, '([A-Za-z]+)', 1)"
+WORD = "md5(text)"
 URLS = f"""urls AS (SELECT doc_id AS seq, ([
   'https://Repo.example.org/' || {WORD} || '.pdf', 'http://a.example.org/article/' || doc_id || '?format=pdf&x=' || {WORD},
   'https://hal.science/hal-' || doc_id || '/document', 'https://doaj.org/subjects/' || {WORD} || '.pdf',
@@ -205,8 +206,15 @@ ORACLES["url_join"] = f"""SELECT doc_id AS seq, ([
   'https://pub.example.org/files/' || {WORD}, 'https://cdn.example.org/' || {WORD}, 'https://pub.example.org/a/b/' || {WORD},
   'https://else.example.org/' || {WORD}, 'https://pub.example.org/a/b/' || doc_id || '?q=' || {WORD}, 'https://pub.example.org/a/up/' || {WORD}
   ])[(doc_id % 6 + 1)::INT] AS resolved FROM documents"""
-ORACLES["arxiv_ids"] = """SELECT doc_id AS seq, CASE doc_id % 5 WHEN 0 THEN '2301.' || lpad(doc_id::VARCHAR, 5, '0') WHEN 1 THEN 'hep-th/' || lpad(doc_id::VARCHAR, 7, '0')
-  WHEN 2 THEN '2301.' || lpad(doc_id::VARCHAR, 5, '0') WHEN 4 THEN 'hep-th/' || lpad(doc_id::VARCHAR, 7, '0') END AS arxiv_id FROM documents"""
+NOTED = """text || chr(10) || ([
+  'https://arxiv.org/abs/2301.' || lpad(doc_id::VARCHAR, 5, '0') || 'v2', 'arXiv: hep-th/' || lpad(doc_id::VARCHAR, 7, '0'),
+  'see 2301.' || lpad(doc_id::VARCHAR, 5, '0') || ' and more', 'no id here',
+  'https://arxiv.org/pdf/hep-th/' || lpad(doc_id::VARCHAR, 7, '0') || 'v1?x=1'])[(doc_id % 5 + 1)::INT]"""
+ORACLES["arxiv_ids"] = f"""WITH n AS (SELECT doc_id AS seq, {NOTED} AS t FROM documents),
+r AS (SELECT seq, CASE WHEN regexp_matches(t, {lit(ARXIV_URL)}) THEN nullif(trim(regexp_extract(t, {lit(ARXIV_URL)}, 1)), '')
+  ELSE nullif(trim(regexp_extract(t, {lit(ARXIV_ID)}, 1)), '') END AS raw FROM n),
+b AS (SELECT seq, {strip("regexp_replace(regexp_replace(raw, '(?i)^arxiv[ ]*:[ ]*', ''), '(?i)v[0-9]+$', '')")} AS bare FROM r)
+SELECT seq, CASE WHEN regexp_matches(bare, '^(?i:' || {lit(ARXIV_ID.replace("(?i)", ""))} || ')') THEN bare END AS arxiv_id FROM b"""
 
 # ---------------------------------------------------------------- merge
 
@@ -433,6 +441,12 @@ def resolved(base: str, link: str) -> str:
 RAW_LINKS = "[]::VARCHAR[]"
 for _pattern in PAGE_PATTERNS:
     RAW_LINKS = f"list_concat({RAW_LINKS}, regexp_extract_all(html, {lit(_pattern)}, 1))"
+TAG_LINKS = "x[1]"
+for _entity, _char in ENTITIES.items():
+    TAG_LINKS = f"replace({TAG_LINKS}, {lit(_entity)}, {lit(_char)})"
+_found = ", ".join("coalesce(" + ", ".join(f"nullif(regexp_extract(t, {lit(a)}, 1), '')" for a in group) + ")" for group in LINK_ATTRIBUTES)
+TAG_LINKS = f"list_transform(list_filter(flatten(list_transform(regexp_extract_all(html, {lit(LINK_TAG)}), lambda t: [{_found}])), lambda u: u IS NOT NULL), lambda u: {TAG_LINKS.replace('x[1]', 'u')})"
+RAW_LINKS = f"list_concat({RAW_LINKS}, {TAG_LINKS})"
 PAGE_LINKS = f"""{PAGES}, pl AS (SELECT page_id, url, {RAW_LINKS} AS raw FROM pg),
 pu AS (SELECT page_id, i, {resolved('url', f"{strip('raw[i]')}")} AS link FROM pl, unnest(range(1, len(raw) + 1)) AS u(i)),
 pd AS (SELECT page_id, link, min(i) AS i FROM (SELECT page_id, i, link, row_number() OVER (PARTITION BY page_id, lower(link) ORDER BY i) AS k FROM pu) WHERE k = 1 GROUP BY ALL),

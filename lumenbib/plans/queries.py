@@ -81,7 +81,7 @@ def topic_tokens(spark, sf):
         F.array_join(tx.tokenize_topic("title"), "|").alias("tokens"),
         F.size(tx.tokenize_topic("abstract")).cast("long").alias("abstract_tokens"),
         F.size(F.array_distinct(tx.words("abstract"))).cast("long").alias("vocabulary"),
-        F.array_join(tx.ordered_distinct(F.slice(tx.words("abstract"), 1, 40)), " ").alias("first_words"),
+        F.md5(F.array_join(tx.ordered_distinct(tx.words("abstract")), " ")).alias("words_md5"),
     )
 
 
@@ -98,12 +98,12 @@ def page_text(spark, sf):
 
 @query
 def query_sanitize(spark, sf):
-    return papers(spark, sf).select("seq", retrieve.sanitize_query(F.substring("abstract", 1, 200)).alias("clean"))
+    return papers(spark, sf).select("seq", retrieve.sanitize_query("abstract").alias("clean"))
 
 
 def derived_urls(spark, sf):
     n = F.col("doc_id")
-    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    word = F.md5("text")
     forms = [
         F.concat(F.lit("https://Repo.example.org/"), word, F.lit(".pdf")),
         F.concat(F.lit("http://a.example.org/article/"), n.cast("string"), F.lit("?format=pdf&x="), word),
@@ -135,7 +135,7 @@ def url_checks(spark, sf):
 @query
 def url_join(spark, sf):
     n = F.col("doc_id")
-    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    word = F.md5("text")
     forms = [
         F.concat(F.lit("/files/"), word),
         F.concat(F.lit("//cdn.example.org/"), word),
@@ -162,7 +162,8 @@ def arxiv_ids(spark, sf):
         F.concat(F.lit("https://arxiv.org/pdf/"), old, F.lit("v1?x=1")),
     ]
     given = F.get(F.array(*forms), (n % len(forms)).cast("int"))
-    return v.table(spark, sf, "documents").select(n.alias("seq"), tx.arxiv_id(given).alias("arxiv_id"))
+    noted = F.concat("text", F.lit("\n"), given)
+    return v.table(spark, sf, "documents").select(n.alias("seq"), tx.arxiv_id(noted).alias("arxiv_id"))
 
 
 # ---------------------------------------------------------------- merge

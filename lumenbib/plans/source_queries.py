@@ -160,7 +160,7 @@ def arxiv_records(spark, sf):
 def cnki_records(spark, sf):
     title = F.regexp_replace("title", "[&<>0-9]", " ")
     row = F.concat(
-        F.lit('<tr><td><a href="/home">.</a> <a class="fz14" href="/kns/'), text_of(N()), F.lit('">'), title, F.lit("</a></td><td>"),
+        F.lit('<tr><td><a class="fz14" href="/kns/'), text_of(N()), F.lit('">'), title, F.lit('</a> <a href="/home">.</a></td><td>'),
         F.when(N() % 4 != 0, F.col("year").cast("string")).otherwise("-"), F.lit("-05</td><td>被引: "), (N() % 50).cast("string"),
         F.lit("</td><td>下载："), (N() % 90).cast("string"), F.lit("</td></tr>"),
     )

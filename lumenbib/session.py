@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +28,14 @@ def local_session(cores: int | str = 8, app: str = "lumenbib", shuffle_partition
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the cluster; a scratch one only where none is configured."""
+    """Shared checkpoint folder of the cluster; a scratch one only where none is configured in local mode."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", "")
+    if not configured and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lumenbib-ckpt-"))
     return context.getCheckpointDir()
 

@@ -200,7 +200,7 @@ def arxiv_papers(entries: DataFrame) -> DataFrame:
         given(strip_html("summary")).alias("abstract"),
         ordered_distinct(categories, clean=False).alias("keywords"),
         F.filter(F.transform(_names(F.col("author"), "name"), lambda a: strip(a)), lambda a: a != "").alias("authors"),
-        F.year(strip("published").try_cast("timestamp")).alias("year"),
+        F.when(strip("published").try_cast("timestamp").isNotNull(), F.substring(strip("published"), 1, 4).try_cast("int")).alias("year"),
         normalize_doi(F.col("`arxiv:doi`")["_VALUE"]).alias("doi"),
         F.lit("arXiv").alias("journal"),
         F.lit("arXiv").alias("publisher"),
@@ -216,28 +216,26 @@ def arxiv_papers(entries: DataFrame) -> DataFrame:
 
 
 # Marks of the result list pages.
-ROW = r"(?is)(<tr\b[^>]*>.*?</tr>|<div[^>]*class=[\"'](?:item|briefBox)[\"'][^>]*>.*?</div>)"
+ITEM = r"<div[^>]*class=[\"'](?:item|briefBox)[\"'][^>]*>"
+ROW = rf"(?is)(<tr\b[^>]*>.*?</tr>|{ITEM}.*?(?={ITEM}|<tr\b|</body>|\z))"
 ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
 CITED = r"被引[：:\s]*(\d+)"
 DOWNLOADED = r"下载[：:\s]*(\d+)"
 ROWS_PER_PAGE = 80
 
 
-def _preferred_anchor(row: Column, group: int) -> Column:
-    """First link with a title class, else the first link of the row."""
-    titled = r"(?is)<a\b([^>]*class=[\"'][^\"']*\b(?:fz14|name)\b[^\"']*[\"'][^>]*)>(.*?)</a>"
-    return F.when(row.rlike(titled), F.regexp_extract(row, titled, group)).otherwise(F.regexp_extract(row, ANCHOR, group))
+def cnki_papers(pages: DataFrame, rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
+    """Result list pages ``(position, html)`` to papers: the first ``rows_per_page`` rows, those whose first link has a text.
 
-
-def cnki_papers(pages: DataFrame) -> DataFrame:
-    """Result list pages ``(position, html)`` to papers: the first 80 rows with a titled link."""
+    An item in a ``div`` reaches to the next item, whatever other ``div`` it holds.
+    """
     rows = pages.select(
-        "position", F.posexplode(F.slice(F.regexp_extract_all("html", F.lit(ROW), F.lit(1)), 1, ROWS_PER_PAGE)).alias("i", "row")
+        "position", F.posexplode(F.slice(F.regexp_extract_all("html", F.lit(ROW), F.lit(1)), 1, rows_per_page)).alias("i", "row")
     )
     cells = rows.withColumns(
         {
-            "title": strip_html(_preferred_anchor(F.col("row"), 2)),
-            "href": missing_if_blank(F.regexp_extract(_preferred_anchor(F.col("row"), 1), r"""(?i)href=["']([^"']*)["']""", 1)),
+            "title": strip_html(F.regexp_extract("row", ANCHOR, 2)),
+            "href": missing_if_blank(F.regexp_extract(F.regexp_extract("row", ANCHOR, 1), r"""(?i)href=["']([^"']*)["']""", 1)),
             "words": strip_html("row"),
         }
     ).filter("title <> ''")
@@ -247,7 +245,7 @@ def cnki_papers(pages: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("string")
     shaped = cells.select(
-        (F.col("position").cast("long") * ROWS_PER_PAGE + F.col("i")).alias("position"),
+        (F.col("position").cast("long") * rows_per_page + F.col("i")).alias("position"),
         F.concat(F.lit("CNKI::"), "title").alias("id"),
         "title",
         number(r"(19\d{2}|20\d{2})").alias("year"),

@@ -35,12 +35,14 @@ def stream_new_results(
     path: str,
     checkpoint: str,
     key: str = "key",
-    event_time: str | None = "landed_at",
+    event_time: str | None = None,
     delay: str = "1 day",
 ) -> StreamingQuery:
     """Compute results for papers whose key has none yet and append them to the table at ``path``.
 
-    Every micro-batch writes its own folder in overwrite mode, so a repeated batch replaces itself.
+    Every micro-batch writes its own folder in overwrite mode, so a repeated batch replaces itself. Rows count however
+    late they land; with ``event_time`` a watermark bounds the state of the early de-duplication, and rows that are later
+    than ``delay`` get no result.
     """
     fresh = papers
     if event_time:

@@ -44,6 +44,14 @@ def test_plausible(values):
     assert values(urls.is_plausible_pdf_url("x"), given) == [True, False, False, True, False, False]
 
 
+def test_only_link_tags_give_links(spark):
+    html = """<body><img src="/pdf/cover.png"><script src="/pdf/viewer.js"></script><a class=x data-download-url="/download/7">d</a>
+      <iframe src="/pdf/show?a=1&amp;b=2"></iframe><a href="/plain">p</a></body>"""
+    pages = spark.createDataFrame([("https://journal.example.net/a", html)], "url string, html string")
+    host = "https://journal.example.net"
+    assert page_links(pages).first()["pdf_links"] == [f"{host}/download/7", f"{host}/pdf/show?a=1&b=2"]
+
+
 def test_page_links(spark):
     html = """<html><head><meta name="citation_pdf_url" content="/paper.pdf"></head><body>
       <a href="/download?format=pdf&id=1">download</a><a href="../up/x.pdf">up</a><script>window.open('/files/final.pdf');</script></body></html>"""
