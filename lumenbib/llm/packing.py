@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from struct import pack as packed
 
 import numpy as np
 import pandas as pd
@@ -30,10 +31,18 @@ from lumenbib.session import cut_lineage, shuffle_width
 
 CAPACITY = 4096
 END_ID = 1
-JOINED, KEPT = 4096, 500_000
+JOINED, KEPT = 4096, 600_000
 MARKS = ".,;:!?"
 
 
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> Memo:
     """Ids of blank-free words as little-endian bytes.
@@ -43,6 +52,7 @@ def word_ids(path: str) -> Memo:
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     model = Tokenizer.from_file(path)
 
@@ -58,17 +68,30 @@ def word_ids(path: str) -> Memo:
             out += [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         return out
 
+    bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+    spelled = {c: bytewise.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
+
     def stem_ids(words: list[str]) -> list[bytes]:
-        """A plain lower-case ASCII word is one token group of the tokenizer; its model takes it as it is."""
-        plain, merge = [w.isascii() and w.isalpha() and w.islower() for w in words], model.model.tokenize
-        rest = iter(compute([w for w, p in zip(words, plain, strict=True) if not p]))
-        return [np.array([t.id for t in merge(w)], "<u4").tobytes() if p else next(rest) for w, p in zip(words, plain, strict=True)]
+        """A lower-case word of Latin-1 letters is one token group of the tokenizer; its model takes it byte by byte."""
+        out, rest, merge = [], [], model.model.tokenize
+        for w in words:
+            if w.isascii():
+                own = merge(w) if w.isalpha() and w.islower() else None
+            else:
+                own = merge(w.translate(spelled)) if w.isalpha() and w.islower() and latin(w) else None
+            if own is None:
+                rest.append(w)
+                out.append(None)
+            else:
+                out.append(packed(f"<{len(own)}I", *[t.id for t in own]))
+        others = iter(compute(rest))
+        return [next(others) if x is None else x for x in out]
 
     stems, marks = Memo(stem_ids, KEPT), dict(zip(MARKS, compute(list(MARKS)), strict=True))
 
     def with_marks(words: list[str]) -> list[bytes]:
         words = [w.lower() if w.isascii() else w for w in words]
-        ends = [w.isascii() and w[-1:] in marks and w[-2:-1].isalpha() for w in words]
+        ends = [w[-1:] in marks and w[-2:-1].isalpha() for w in words]
         found = stems([w[:-1] if e else w for w, e in zip(words, ends, strict=True)])
         return [x + marks[w[-1]] if e else x for x, w, e in zip(found, words, ends, strict=True)]
 
@@ -77,8 +100,8 @@ def word_ids(path: str) -> Memo:
 
 def text_ids(texts: list[str], known: Memo, end_id: int = END_ID) -> Iterator[bytes]:
     """Ids of each text and the end id, four bytes each."""
-    # The tokenizer lower-cases after composing characters, which only ASCII texts may have done sooner.
-    parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+    # The tokenizer lower-cases after composing characters; Latin-1 texts have nothing to compose.
+    parts = [(t.lower() if latin(t) else t).replace("\n", " ").split(" ") for t in texts]
     found, k, end = known([w for p in parts for w in p]), 0, np.array([end_id], "<u4").tobytes()
     for p in parts:
         yield b"".join(found[k : k + len(p)]) + end

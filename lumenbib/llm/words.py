@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import filterfalse
 
 SLICE_CHARS = 1 << 20
 KNOWN_WORDS = 400_000
@@ -24,7 +23,7 @@ def slices(texts: Sequence[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int
 class Memo:
     """``compute`` gives the values of many words at once; values of up to ``limit`` words are kept.
 
-    What is kept never changes a result: a word that was dropped is computed again.
+    What is kept never changes a result: a word that was dropped is computed again. No value is None.
     """
 
     def __init__(self, compute: Callable[[list[str]], Sequence], limit: int = KNOWN_WORDS):
@@ -32,10 +31,15 @@ class Memo:
         self.known: dict[str, object] = {}
 
     def __call__(self, words: list[str]) -> list:
-        missing = list(set(filterfalse(self.known.__contains__, words)))
-        if missing and len(self.known) + len(missing) > self.limit:
+        found = list(map(self.known.get, words))  # one look-up for a word that is known
+        if None not in found:
+            return found
+        gaps = [i for i, x in enumerate(found) if x is None]
+        missing = list({words[i] for i in gaps})
+        values = dict(zip(missing, self.compute(missing), strict=True))
+        if len(self.known) + len(values) > self.limit:
             self.known.clear()
-            missing = list(set(words))
-        if missing:
-            self.known.update(zip(missing, self.compute(missing), strict=True))
-        return list(map(self.known.__getitem__, words))
+        self.known.update(values)
+        for i in gaps:
+            found[i] = values[words[i]]
+        return found
