@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ LABEL_SCORES = {
     "unsure": 50.0,
 }
 
-UNBROKEN = 3
+PIECE, SHORT = 4, 12
 
 
 def feedback_label(label: Column | str = "human_label") -> Column:
@@ -59,64 +61,53 @@ def match_by_doi(papers: DataFrame, feedback: DataFrame) -> DataFrame:
     return keyed.join(last, "feedback_doi").select("seq", "answer.*")
 
 
-def _segments(title: Column, count: Column) -> Column:
-    """Cut a title into ``count`` nearly equal pieces: ``(i, start, piece)``."""
-    size = F.length(title)
-
-    def piece(i: Column) -> Column:
-        start = F.floor(i * size / count)
-        stop = F.floor((i + 1) * size / count)
-        return F.struct(
-            i.alias("i"), (start + 1).alias("start"), F.substring(title, (start + 1).cast("int"), (stop - start).cast("int")).alias("piece")
-        )
-
-    return F.transform(F.sequence(F.lit(0), count - 1), piece)
-
-
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 92.0) -> DataFrame:
     """Pairs ``(title, feedback_title, ratio)`` of distinct titles with an indel ratio over the threshold.
 
-    Complete by pigeonhole: a pair allows at most ``d`` edits, so of ``d+3`` pieces of ``left.title``
-    three stand unbroken in ``right.feedback_title``, shifted by less than ``d`` (all but ``d`` where
-    a title has fewer characters). Each left title emits its few pieces; the (short) feedback side
-    emits the places where they may stand.
+    A pair allows ``d`` edits, at most ``2e/(1-e)`` of either title's length (``e`` is one less the threshold). An edit
+    breaks at most one of the pieces that ``left``'s title is cut into, and moves the others by at most ``d``: of ``p``
+    pieces, ``p - d`` or more stand in the other title near their place. Pieces have four characters (fewer in very short
+    titles, so that one must survive). Complete, and both sides emit rows in proportion to a title's length; the join key
+    also holds a band of lengths.
     """
     slack = 1 - threshold / 100.0
     stretch = (1 + slack) / (1 - slack)
 
-    def piece_count(size: Column) -> Column:
-        edits = F.floor(size * (2 * slack / (1 - slack)))
-        return F.least(edits + UNBROKEN, size).cast("int")
+    def edits(size: Column) -> Column:
+        return F.floor(size * (2 * slack / (1 - slack)) + 1e-9).cast("int")
+
+    def band(size: Column) -> Column:
+        return F.floor(F.log(size) / math.log(stretch) + 1e-9).cast("int")
 
+    size = F.length("title")
+    width = F.coalesce(*[F.when(F.floor(size / m) > edits(size), m) for m in range(PIECE, 0, -1)], F.lit(1))
+    starts = F.transform(F.sequence(F.lit(0), F.floor(size / width).cast("int") - 1), lambda i: i * width)
     pieces = left.select(
-        "title", F.length("title").alias("size"), F.inline(_segments(F.col("title"), piece_count(F.length("title"))))
-    )
+        "title", edits(size).alias("edits"), band(size).alias("band"), F.size(starts).alias("pieces"),
+        F.inline(F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col("title"), i + 1, width).alias("piece")))),
+    )
     size = F.length("feedback_title")
-    lengths = F.sequence(F.ceil(size / stretch - 1e-9).cast("int"), F.floor(size * stretch + 1e-9).cast("int"))
-    places = spread(right).select("feedback_title", size.alias("own"), F.explode(lengths).alias("size")).filter("size > 0")
-    parts = piece_count(F.col("size"))
-    allowed = F.floor(slack * (F.col("size") + F.col("own")) + 1e-9)
-    shift = F.col("own") - F.col("size")
-    places = places.select(
-        "feedback_title", "own", "size", parts.alias("parts"),
-        F.ceil((shift - allowed) / 2).cast("int").alias("low"), F.floor((shift + allowed) / 2).cast("int").alias("high"),
-    ).filter("low <= high")
-    places = places.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
-    start = F.floor(F.col("i") * F.col("size") / F.col("parts"))
-    stop = F.floor((F.col("i") + 1) * F.col("size") / F.col("parts"))
-    places = places.select(
-        "feedback_title", "own", "size", "i", start.cast("int").alias("start"), (stop - start).cast("int").alias("width"),
-        F.explode(F.sequence("low", "high")).alias("shift"),
-    ).filter("start + shift >= 0 and start + shift + width <= own")
-    places = places.select(
-        "feedback_title", "size", "i", F.substring(F.col("feedback_title"), F.col("start") + F.col("shift") + 1, F.col("width")).alias("piece")
+
+    def windows(m: int) -> Column:
+        places = F.sequence(F.lit(0), size - m)
+        cut = F.transform(places, lambda i: F.struct(i.alias("place"), F.substring(F.col("feedback_title"), i + 1, F.lit(m)).alias("piece")))
+        # Narrower pieces are only cut from titles that are about as short as the widths that need them.
+        fits = (size >= m) & (size <= (SHORT if m < PIECE else 1 << 30))
+        return F.when(fits, cut).otherwise(F.array().cast("array<struct<place:int,piece:string>>"))
+
+    places = right.select(
+        "feedback_title", band(size).alias("own"), F.inline(F.concat(*[windows(m) for m in range(1, PIECE + 1)]))
+    ).select("feedback_title", "place", "piece", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("band"))
+    met = spread(pieces, "piece", "band").join(spread(places, "piece", "band"), ["piece", "band"])
+    met = met.filter(F.abs(F.col("at") - F.col("place")) <= F.col("edits"))
+    pairs = met.groupBy("title", "feedback_title").agg(
+        F.size(F.collect_set("at")).alias("common"),
+        F.max(F.col("pieces") - F.col("edits")).alias("need"),
     )
-    met = pieces.select("title", "size", "i", "piece").join(places.distinct(), ["size", "i", "piece"])
-    shared = met.groupBy("title", "feedback_title").agg(F.count(F.lit(1)).alias("shared"))
-    edits = F.floor(F.length("title") * (2 * slack / (1 - slack)))
-    surviving = F.greatest(F.lit(1), piece_count(F.length("title")) - edits)
-    pairs = shared.filter(F.col("shared") >= surviving).select("title", "feedback_title")
-    scored = pairs.withColumn("ratio", indel_ratio("title", "feedback_title"))
+    total = F.length("title") + F.length("feedback_title")
+    near = F.abs(F.length("title") - F.length("feedback_title")) <= slack * total + 1e-9
+    kept = pairs.filter((F.col("common") >= F.col("need")) & near)
+    scored = kept.select("title", "feedback_title").withColumn("ratio", indel_ratio("title", "feedback_title"))
     return scored.filter(F.col("ratio") >= threshold)
 
 
