@@ -115,8 +115,12 @@ def test_sinks(spark, data, tmp_path):
     report.write_raw_json(final.select("id", "title"), str(tmp_path / "raw"))
     cards = final.orderBy("seq").limit(5).withColumn("card_rank", (F.col("seq") + 1).cast("int"))
     report.write_cards(cards, str(tmp_path / "cards"))
-    assert len(list((tmp_path / "cards").glob("card=*"))) == 5
+    texts = "".join(p.read_text() for p in (tmp_path / "cards").glob("part-*"))
+    assert texts.count("<!-- ") == 5 and texts.count("## How it ranks") == 5
+    report.write_cards(cards.withColumn("topic_id", F.col("seq") % 2), str(tmp_path / "by_topic"))
+    assert sorted(p.name for p in (tmp_path / "by_topic").glob("topic_id=*")) == ["topic_id=0", "topic_id=1"]
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == final.count()
     assert "@article{" in "".join(p.read_text() for p in (tmp_path / "bib").glob("part-*"))
-    text = report.summary_markdown("the", final, final.limit(3), cards, 10)
-    assert "## Papers by Journal" in text and "Retrieval total: 10" in text
+    seen = spark.createDataFrame([(10, 2)], "retrieved long, failed long")
+    text = report.summary_markdown("the", final, final.limit(3), cards, {"Sources": seen})
+    assert "## Journals" in text and "| retrieved | 10 |" in text and "| selected | 3 |" in text

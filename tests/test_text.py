@@ -53,9 +53,10 @@ def test_only_link_tags_give_links(spark):
 
 
 def test_page_links(spark):
-    html = """<html><head><meta name="citation_pdf_url" content="/paper.pdf"></head><body>
-      <a href="/download?format=pdf&id=1">download</a><a href="../up/x.pdf">up</a><script>window.open('/files/final.pdf');</script></body></html>"""
-    pages = spark.createDataFrame([("https://example.org/a/article", html), ("https://example.org/b", "<p>none</p>")], "url string, html string")
+    html = """<head><meta content="/v2/77.pdf" name="citation_pdf_url"></head><nav><a href="../up/x.pdf">up</a></nav>
+      <p onclick="window.open('/store/77-final.pdf')">file</p><a class="b" href="/get?n=77&type=printable&format=pdf">print</a>"""
+    pages = spark.createDataFrame([("https://lakes.example/a/77", html), ("https://lakes.example/b", "<p>none</p>")], "url string, html string")
     found = [r["pdf_links"] for r in page_links(pages).orderBy("url").collect()]
-    assert {"https://example.org/paper.pdf", "https://example.org/download?format=pdf&id=1", "https://example.org/files/final.pdf", "https://example.org/up/x.pdf"} == set(found[0])
+    paths = ["/v2/77.pdf", "/up/x.pdf", "/get?n=77&type=printable&format=pdf", "/store/77-final.pdf"]
+    assert found[0] == [f"https://lakes.example{p}" for p in paths]
     assert found[1] == []
