@@ -29,6 +29,7 @@ from lumenbib.llm.linear import Rows, Scale, fit_scaled, rows_of
 PER_LANGUAGE = 1200  # labelled documents of a language that the machines are fitted on, at most
 BITS = 16
 SPREAD = 64.0
+SALTS = 64
 PIECE = 1 << 20  # bytes that are hashed at once
 UNKNOWN = "und"
 
@@ -123,10 +124,13 @@ class LanguageModel(NamedTuple):
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """(doc_id, text, lang): the smallest hashed ids of each language; heads are cut before the shuffle."""
+    """(doc_id, text, lang): the smallest hashed ids of each language."""
     known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("doc_id", "lang")
+    chosen = known.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    for parts in (["lang", "salt"], ["lang"]):  # a language that holds most rows is first cut in many tasks
+        order = Window.partitionBy(*parts).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    chosen = chosen.select("doc_id", "lang")
     return docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
 
 
