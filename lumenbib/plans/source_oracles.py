@@ -51,6 +51,13 @@ SOURCE_ORACLES["cnki_records"] = f"""{P} SELECT seq // 10 * 80 + seq % 10 + 4398
   CASE WHEN seq % 4 <> 0 THEN year END AS year, (seq % 50)::INT AS citation_count, '/kns/' || seq AS landing_page_url, (seq % 90)::INT AS downloads, 'restricted' AS open_access_status
 FROM papers WHERE {CNKI_TITLE} <> ''"""
 
+LANDED = f"""{P}, l AS (SELECT *, seq // 3 % 3 AS src, row_number() OVER (PARTITION BY seq // 3 % 3 ORDER BY seq) - 1 AS position FROM papers),
+m AS (SELECT src * 1099511627776 + position AS s, CASE WHEN src = 2 THEN coalesce(doi, id) ELSE id END AS id, title, year, {doi('doi')} AS doi,
+  (['OpenAlex', 'Semantic Scholar', 'Crossref'])[src + 1] AS source FROM l)"""
+SOURCE_ORACLES["landed_merge"] = f"""{LANDED} SELECT min(s) AS seq, arg_min(id, s) AS id, arg_min(title, [-length(title), s]) AS title, arg_min(year, s) AS year, doi,
+  string_agg(DISTINCT source, '+' ORDER BY source) AS source_database, count(DISTINCT source)::INT AS source_count FROM m WHERE doi IS NOT NULL GROUP BY doi
+UNION ALL SELECT s + 1125899906842624, id, title, year, doi, source, 1 FROM m WHERE doi IS NULL"""
+
 # ---------------------------------------------------------------- open-access payloads
 
 # provider, place in its list, URL behind the document's base, label, landing page, condition

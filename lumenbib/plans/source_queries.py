@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenbib.functions import text as tx
 from lumenbib.operators import candidates as ca
+from lumenbib.operators import dedup
 from lumenbib.plans.queries import joined, papers, query
+from lumenbib.schema import union_sources
+from lumenbib.session import checkpoint_dir
 from lumenbib.sources import payloads as pl
 from lumenbib.sources import records as rd
 
+
 def N() -> Column:  # noqa: N802
     return F.col("seq")
 
@@ -171,6 +177,28 @@ def cnki_records(spark, sf):
     return found.select("seq", "id", "title", "year", "citation_count", "landing_page_url", F.col("cnki.download_count").alias("downloads"), "open_access_status")
 
 
+@query
+def landed_merge(spark, sf):
+    """Documents landed as JSON lines of three providers, read back in landed order, united and merged by DOI."""
+    p, turn = papers(spark, sf), F.floor(N() / 3) % 3
+    by_provider = [
+        (F.struct(F.col("id"), F.col("doi"), F.col("title").alias("display_name"), F.col("year").alias("publication_year")), rd.OPENALEX, rd.openalex_papers),
+        (F.struct(F.col("id").alias("paperId"), "title", "year", F.struct(F.col("doi").alias("DOI")).alias("externalIds")), rd.SEMANTIC_SCHOLAR, rd.semantic_scholar_papers),
+        (
+            F.struct(F.col("doi").alias("DOI"), F.col("id").alias("URL"), F.array("title").alias("title"), F.struct(F.array(F.array("year")).alias("date-parts")).alias("issued")),
+            rd.CROSSREF,
+            rd.crossref_papers,
+        ),
+    ]
+    folder, sources = f"{checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}", []
+    for i, (payload, schema, parse) in enumerate(by_provider):
+        rows = p.filter(turn == i).repartitionByRange(3, "seq").sortWithinPartitions("seq")
+        rows.select(F.to_json(payload).alias("value")).write.text(f"{folder}/{i}")
+        sources.append(parse(rd.read_json(spark, f"{folder}/{i}", schema)))
+    merged = dedup.dedup_by_doi(union_sources(*sources))
+    return merged.select("seq", "id", "title", "year", "doi", "source_database", "source_count")
+
+
 # ---------------------------------------------------------------- open-access payloads
 
 

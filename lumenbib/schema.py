@@ -68,6 +68,12 @@ def assign_seq(papers: DataFrame, position: str = "position") -> DataFrame:
     return papers.withColumn("seq", rank * F.lit(1 << 40) + F.col(position).cast("long")).drop(position)
 
 
+def ordered(papers: DataFrame) -> DataFrame:
+    """``papers``, failing on a record without arrival order, which a merge would lose fields of."""
+    missing = F.raise_error(F.lit("a record has no arrival order (seq)")).cast("long")
+    return papers.withColumn("seq", F.coalesce("seq", missing))
+
+
 def conform(papers: DataFrame) -> DataFrame:
     """Project to the paper schema; absent columns become typed nulls (empty lists for list columns)."""
     have = set(papers.columns)

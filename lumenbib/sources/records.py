@@ -1,12 +1,12 @@
 """Landed provider records to papers: typed reads and one projection per provider.
 
 Readers take any DataFrame with the declared schema, so a dump can come from JSON lines, Parquet or
-a stream. ``position`` (place in the landed order) may be part of the input; see ``assign_seq``.
+a stream. ``position`` (place in the landed order) is given by the readers here; see ``assign_seq``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenbib.functions.text import (
@@ -52,13 +52,28 @@ link array<struct<_href: string, _title: string, _rel: string>>
 """
 
 
+def in_landed_order(rows: DataFrame) -> DataFrame:
+    """``rows`` of a file scan with ``position``: files by path, rows by their place in the file.
+
+    A file split is read by one task in order, so a row's number in it is its generated id less the split's first one.
+    Only (file, split) counts are gathered: a row per split.
+    """
+    own = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    own = own.withColumn("_id", F.monotonically_increasing_id())
+    splits = own.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    placed = own.join(splits, ["_file", "_start"]).withColumn("position", F.col("_offset") + F.col("_id") - F.col("_first"))
+    return placed.select(*rows.columns, "position")
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return in_landed_order(spark.read.schema(schema).json(path))
 
 
 def read_arxiv(spark: SparkSession, path: str) -> DataFrame:
     """Atom feed through the built-in XML source; the schema is explicit as single items infer as structs."""
-    return spark.read.format("xml").option("rowTag", "entry").schema(ARXIV).load(path)
+    return in_landed_order(spark.read.format("xml").option("rowTag", "entry").schema(ARXIV).load(path))
 
 
 def _names(items: Column, field: str) -> Column:

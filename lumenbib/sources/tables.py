@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenbib.operators.candidates import is_stored_pdf
+from lumenbib.sources.records import in_landed_order
 
 
 def _numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -17,8 +18,7 @@ def _numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     columns = [
         (F.trim(F.coalesce(F.col(c), F.lit(""))) if c in clean.columns else F.lit("")).alias(c) for c in schema.split(",")
     ]
-    # A multi-line CSV file is one split, so the generated ids follow the line order.
-    return clean.select(F.monotonically_increasing_id().alias("pos"), *columns)
+    return in_landed_order(clean).select(F.col("position").alias("pos"), *columns)
 
 
 def read_journals(spark: SparkSession, path: str) -> DataFrame:

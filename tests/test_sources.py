@@ -1,15 +1,17 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from lumenbib.operators import expand, incremental, report, retrieve
-from lumenbib.operators.enrich import with_quartile
+from lumenbib.operators import dedup, expand, incremental, report, retrieve
+from lumenbib.operators.enrich import overlay_unpaywall, with_quartile
 from lumenbib.operators.evidence import with_evidence
 from lumenbib.operators.health import health_from_slices, source_health
 from lumenbib.operators.score import final_scores, rule_scores
 from lumenbib.plans.search import typed_nulls
 from lumenbib.plans.views import journals_view, papers_view
+from lumenbib.schema import conform
 from lumenbib.sources import records as rd
 from lumenbib.sources import tables as tb
 from lumenbib.streaming import jobs
@@ -124,3 +126,55 @@ def test_sinks(spark, data, tmp_path):
     seen = spark.createDataFrame([(10, 2)], "retrieved long, failed long")
     text = report.summary_markdown("the", final, final.limit(3), cards, {"Sources": seen})
     assert "## Journals" in text and "| retrieved | 10 |" in text and "| selected | 3 |" in text
+
+
+def test_landed_files_keep_their_order_through_the_merge(spark, tmp_path):
+    works = [{"id": f"W{i}", "doi": f"10.1/{i % 3}", "display_name": f"title {i % 3}", "publication_year": 2000 + i} for i in range(6)]
+    folder = tmp_path / "works"
+    folder.mkdir()
+    for k, name in enumerate(("b.json", "a.json")):
+        (folder / name).write_text("\n".join(json.dumps(w) for w in works[k * 3 : k * 3 + 3]))
+    landed = rd.openalex_papers(rd.read_json(spark, str(folder), rd.OPENALEX))
+    assert [r["id"] for r in landed.orderBy("seq").collect()] == ["W3", "W4", "W5", "W0", "W1", "W2"]  # files by name
+    merged = {r["doi"]: r for r in dedup.dedup_by_doi(landed).collect()}
+    assert {d: (r["id"], r["year"]) for d, r in merged.items()} == {f"10.1/{i}": (f"W{i + 3}", 2003 + i) for i in range(3)}
+    entry = "<entry><id>http://arxiv.org/abs/2301.0000{0}</id><title>t{0}</title><published>2020-12-31T23:00:00Z</published></entry>"
+    (tmp_path / "feed.xml").write_text("<feed>" + "".join(entry.format(i) for i in range(4)) + "</feed>")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+    try:
+        feed = rd.arxiv_papers(rd.read_arxiv(spark, str(tmp_path / "feed.xml"))).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [(r["title"], r["year"]) for r in feed] == [(f"t{i}", 2020) for i in range(4)]
+
+
+def test_merge_refuses_records_without_order(spark):
+    bare = conform(spark.createDataFrame([("W1", "10.1/1")], "id string, doi string"))
+    with pytest.raises(Exception, match="no arrival order"):
+        dedup.dedup_by_doi(bare).collect()
+
+
+def test_nested_div_rows_and_one_record_per_doi(spark):
+    html = """<div class="item"><div><a href="/k/1">first</a></div><div>2019 被引: 7</div></div>
+      <div class="item"><div><a href="/k/2">second</a></div><div>2020</div></div>"""
+    pages = spark.createDataFrame([(0, html)], "position long, html string")
+    found = rd.cnki_papers(pages).orderBy("seq").collect()
+    assert [(r["title"], r["year"], r["citation_count"], r["landing_page_url"]) for r in found] == [("first", 2019, 7, "/k/1"), ("second", 2020, None, "/k/2")]
+    place = "struct<url_for_pdf:string,url_for_landing_page:string,url:string>"
+    snapshot = spark.createDataFrame(
+        [("10.1/A", False, None, None, None), ("https://doi.org/10.1/a", True, "gold", ("u.pdf", None, "u"), [])],
+        f"doi string, is_oa boolean, oa_status string, best_oa_location {place}, oa_locations array<{place}>",
+    )
+    papers = conform(spark.createDataFrame([(1, "10.1/a"), (2, None)], "seq long, doi string"))
+    overlaid = {r["seq"]: r for r in overlay_unpaywall(papers, snapshot).collect()}
+    assert len(overlaid) == 2 and overlaid[1]["pdf_url"] == "u.pdf" and not overlaid[2]["oa_hit"]
+
+
+def test_hit_limits_follow_the_request(spark):
+    expanded = expand.expand_topics(spark.createDataFrame([(1, "wind power policy")], "topic_id long, topic string"))
+    queries = retrieve.provider_queries(expanded, "OpenAlex", 20000)
+    most = queries.agg(F.max("hits")).first()[0]
+    assert most > 120
+    hits = spark.range(most + 50).select(F.lit(1).alias("query_id"), F.col("id").alias("seq"), F.lit(2000).alias("year"), F.lit(1.0).alias("relevance"), F.lit(most).alias("hits"))
+    assert retrieve.top_hits(hits).count() == most
+    assert retrieve.per_query_limit("arXiv", 5000, F.lit(1), 200) is not None
