@@ -15,8 +15,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
+
 def spread_small(df: DataFrame, width: int | None = None) -> DataFrame:
-    """A table of fewer splits than cores is dealt out, as the step after it is heavy."""
+    """A table of fewer splits than cores is dealt out, as the step after it is heavy.
+
+    Rows hold whole texts, so the session's Arrow batches are set to at most ``BATCH_ROWS`` rows: a batch lies in the
+    task's memory several times over.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(BATCH_KEY, str(BATCH_ROWS))
     cores = width or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -30,7 +40,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     clear = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).filter("label = most")
     chosen = clear.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return spread_small(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id")
 
 
 def free_name(df: DataFrame, wish: str) -> str:

@@ -131,7 +131,7 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
         order = Window.partitionBy(*parts).orderBy(F.xxhash64("doc_id"), "doc_id")
         chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
     chosen = chosen.select("doc_id", "lang")
-    return docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
+    return spread_small(docs.select("doc_id", "lang", "text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
 
 
 def fit(names: list[str], rows: Rows) -> LanguageModel:

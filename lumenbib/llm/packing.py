@@ -31,7 +31,7 @@ from lumenbib.session import cut_lineage, shuffle_width
 
 CAPACITY = 4096
 END_ID = 1
-JOINED, KEPT = 4096, 600_000
+JOINED, KEPT = 4096, 300_000
 MARKS = ".,;:!?"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 SLICE_CHARS = 1 << 20
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 
 
 def slices(texts: Sequence[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -21,7 +21,7 @@ def slices(texts: Sequence[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int
 
 
 class Memo:
-    """``compute`` gives the values of many words at once; values of up to ``limit`` words are kept.
+    """``compute`` gives the values of many words at once; values of about ``limit`` words are kept, the latest used.
 
     What is kept never changes a result: a word that was dropped is computed again. No value is None.
     """
@@ -29,17 +29,20 @@ class Memo:
     def __init__(self, compute: Callable[[list[str]], Sequence], limit: int = KNOWN_WORDS):
         self.compute, self.limit = compute, limit
         self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
     def __call__(self, words: list[str]) -> list:
         found = list(map(self.known.get, words))  # one look-up for a word that is known
         if None not in found:
             return found
         gaps = [i for i, x in enumerate(found) if x is None]
-        missing = list({words[i] for i in gaps})
-        values = dict(zip(missing, self.compute(missing), strict=True))
-        if len(self.known) + len(values) > self.limit:
-            self.known.clear()
+        lacking = {words[i] for i in gaps}
+        values = {w: x for w in lacking if (x := self.older.get(w)) is not None}
+        missing = list(lacking - values.keys())
+        values.update(zip(missing, self.compute(missing), strict=True))
         self.known.update(values)
         for i in gaps:
             found[i] = values[words[i]]
+        if len(self.known) > self.limit // 2:  # the older half goes
+            self.known, self.older = {}, self.known
         return found
