@@ -9,7 +9,6 @@ from lumenbib.functions.similarity import matching_blocks_ratio
 from lumenbib.functions.text import arxiv_id, missing_if_blank, normalize_doi, normalize_title, source_bucket, strip
 from lumenbib.functions.urls import distinct_links, is_plausible_pdf_url, raw_page_links, url_policy
 from lumenbib.operators.enrich import spread_null
-from lumenbib.operators.retrieve import search, top_hits
 from lumenbib.operators.select import best_first, head
 
 # Priority of link sources; 0.55 for all others.
@@ -274,17 +273,30 @@ def backfill(papers: DataFrame, payloads: DataFrame) -> DataFrame:
     ).drop("known_doi", "new_landing_page_url", "new_pdf_url")
 
 
+def ranked_titles(titles: DataFrame, works: DataFrame, hits: int = 5, rare_words: int = 8) -> DataFrame:
+    """Best works ``(query_id, seq, hit_rank)`` of each title: any of its rarest words, more and rarer shared ones first.
+
+    ``titles`` has ``query_id``, a normalised title. Words are counted in the works' titles; a word that no work holds
+    finds nothing and is no loss.
+    """
+    held = works.select("seq", F.explode(F.array_distinct(F.split(normalize_title("title"), " "))).alias("word")).filter("word <> ''")
+    asked = titles.select("query_id", F.explode(F.array_distinct(F.split("query_id", " "))).alias("word"))
+    frequency = held.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("query_id").orderBy("df", "word")
+    probes = asked.join(frequency, "word").withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= rare_words)
+    met = held.join(probes, "word").groupBy("query_id", "seq").agg(F.sum(1 / F.log1p("df")).alias("weight"))
+    best = Window.partitionBy("query_id").orderBy(F.round("weight", 9).desc(), "seq")
+    return met.withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= hits).drop("weight")
+
+
 def resolve_titles(papers: DataFrame, works: DataFrame, hits: int = 5, threshold: float = 0.76) -> DataFrame:
-    """DOI of papers that lack one, by title: best of the first search hits, the first one on ties.
+    """DOI of papers that lack one, by title: best of the first hits by similarity, the first one on ties.
 
     ``works`` is a paper table with DOIs. Titles shorter than ten characters are left out.
     """
     bare = papers.filter(normalize_doi("doi").isNull()).select("seq", strip("title").alias("title"))
     titled = bare.filter(F.length("title") >= 10).withColumn("query_id", normalize_title("title"))
-    titles = titled.select("query_id").filter("query_id <> ''").distinct()
-    none = F.lit(None).cast("string")
-    queries = titles.withColumns({"query": F.col("query_id"), "mode": F.lit("default"), "source": none})
-    found = top_hits(search(queries, works), hits)
+    found = ranked_titles(titled.select("query_id").filter("query_id <> ''").distinct(), works, hits)
     known = works.select(F.col("seq"), normalize_title("title").alias("hit_title"), normalize_doi("doi").alias("found_doi"))
     scored = (
         found.join(known, "seq")
@@ -298,6 +310,12 @@ def resolve_titles(papers: DataFrame, works: DataFrame, hits: int = 5, threshold
     return titled.join(passed, "query_id").select("seq", "best.found_doi", "best.ratio")
 
 
+def with_found_doi(papers: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Papers without DOI take the one that was found by title; what is keyed by DOI then reaches them too."""
+    joined = papers.join(resolved.select("seq", "found_doi"), "seq", "left")
+    return joined.withColumn("doi", F.coalesce(missing_if_blank("doi"), F.col("found_doi"))).select(papers.columns)
+
+
 def discovery_stats(papers: DataFrame, links: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Papers seen, links found, paper-source pairs with links, DOIs found by title."""
     seen = papers.agg(F.count(F.lit(1)).alias("papers_seen"))

@@ -264,11 +264,6 @@ def scoring_lists(expanded: DataFrame) -> DataFrame:
     )
 
 
-def plain_terms(topic: Column | str) -> Column:
-    """Term list of a topic that was not expanded: its tokens and itself."""
-    return _cut(ordered_distinct(F.concat(tokenize_topic(topic), F.array(col(topic)))), 60)
-
-
 def _steps(values: str) -> Column:
     """Overlapping keyword triples that start at every second of the first eight keywords."""
 

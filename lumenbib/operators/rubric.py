@@ -246,7 +246,3 @@ def rubric_stats(outcomes: DataFrame) -> DataFrame:
         F.count_if(F.col("outcome") == "cache_hit").alias("llm_cache_hit"),
         F.count_if(F.col("outcome").isin("scored", "failed")).alias("llm_cache_miss"),
     )
-
-
-def score_text(c: Column | str) -> Column:
-    return _score(col(c))

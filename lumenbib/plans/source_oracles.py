@@ -82,7 +82,7 @@ _rows = " UNION ALL ".join(
     + (f" WHERE {condition}" if condition else "")
     for provider, pos, tail, label, landing, condition in LINKS
 )
-PAYLOADS = f"""{P}, k AS (SELECT seq, {doi('doi')} AS d, 'https://oa.example.org/' || seq AS base FROM papers WHERE seq % 3 = 1),
+PAYLOADS = f"""{P}, k AS (SELECT seq, {doi('doi')} AS d, 'https://oa.example.org/' || seq AS base FROM papers WHERE doi IS NOT NULL),
 pay AS ({_rows} UNION ALL SELECT seq, d, 'pmc', 0, 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || seq || '/pdf/', 'pmc.PMC' || seq || '.pdf', false FROM k)"""
 SOURCE_ORACLES["provider_links"] = f"{PAYLOADS} SELECT doi, provider, pos, url, source, from_landing FROM pay"
 SOURCE_ORACLES["discovered_links"] = f"{PAYLOADS} SELECT DISTINCT p.seq, pay.url, pay.source FROM papers p JOIN pay ON pay.doi = {doi('p.doi')}"

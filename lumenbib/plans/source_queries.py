@@ -204,7 +204,7 @@ def landed_merge(spark, sf):
 
 def payload_tables(spark, sf) -> dict[str, DataFrame]:
     """JSON texts of eight providers, keyed by DOI; one object or a list of objects by turns."""
-    p = papers(spark, sf).filter((N() % 3 == 1) & F.col("doi").isNotNull())
+    p = papers(spark, sf).filter(F.col("doi").isNotNull())
     base = F.concat(F.lit('"https://oa.example.org/'), text_of(N()))
     even = N() % 2 == 0
 
@@ -246,6 +246,16 @@ def discovered_links(spark, sf):
     return ca.first_links(found).select("seq", "url", "source")
 
 
+@query
+def discovery_after_title(spark, sf):
+    """Links of papers whose DOI is only known by their title."""
+    p = papers(spark, sf)
+    found = ca.resolve_titles(p, p.filter(tx.normalize_doi("doi").isNotNull()))
+    reached = ca.with_found_doi(p, found).join(found.select("seq"), "seq", "left_semi")
+    links = ca.discovered_links(reached, pl.all_payload_links(payload_tables(spark, sf)))
+    return ca.first_links(links).select("seq", "url", "source")
+
+
 @query
 def link_backfill(spark, sf):
     filled = ca.backfill(papers(spark, sf), pl.payload_backfill(payload_tables(spark, sf)))

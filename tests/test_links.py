@@ -122,3 +122,18 @@ def test_pdf_bytes(spark):
     good = b"%PDF-1.4" + b"x" * 1100 + b"%%EOF"
     rows = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"%PDF-1.4 short")), (3, bytearray(b"<html>" + b"x" * 5000))], "i int, content binary")
     assert [r[0] for r in rows.orderBy("i").select(ca.is_stored_pdf(F.col("content"))).collect()] == [True, False, False]
+
+
+def test_titles_with_a_changed_word_find_their_doi(spark):
+    works = spark.createDataFrame(
+        [(1, "regional modelling of climate adaptation in cities", "10.1/a"), (2, "climate policy in the cities of europe", "10.1/b")],
+        "seq long, title string, doi string",
+    )
+    papers = spark.createDataFrame(
+        [(10, "Regional modelling of climate adaption in cities", None), (11, "short", None), (12, "unlike any other of them", ""), (13, None, None)],
+        "seq long, title string, doi string",
+    )
+    found = ca.resolve_titles(papers, works)
+    assert [(r["seq"], r["found_doi"]) for r in found.collect()] == [(10, "10.1/a")]
+    filled = {r["seq"]: r["doi"] for r in ca.with_found_doi(papers, found).collect()}
+    assert filled == {10: "10.1/a", 11: None, 12: None, 13: None}

@@ -123,6 +123,17 @@ def test_sinks(spark, data, tmp_path):
     assert sorted(p.name for p in (tmp_path / "by_topic").glob("topic_id=*")) == ["topic_id=0", "topic_id=1"]
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == final.count()
     assert "@article{" in "".join(p.read_text() for p in (tmp_path / "bib").glob("part-*"))
+    report.write_expanded(expand.expand_topics(spark.createDataFrame([(1, "wind power")], "topic_id long, topic string")), str(tmp_path / "expanded"))
+    assert spark.read.json(str(tmp_path / "expanded")).first()["topic_id"] == 1
+    report.write_diagnostics(report.diagnostics(means=report.score_averages(final)), str(tmp_path / "diagnostics"))
+    assert "means" in json.loads(spark.read.text(str(tmp_path / "diagnostics")).first()["value"])
+    keyed = final.withColumn("key", incremental.work_key("v1")).select("key", "final_score")
+    incremental.store(keyed, str(tmp_path / "kept"), "v1")
+    assert incremental.todo(keyed, incremental.stored(spark, str(tmp_path / "kept"), "v1")).count() == 0
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "a.pdf").write_bytes(b"%PDF-1.7" + b"x" * 20000)
+    (tmp_path / "pdf" / "b.pdf").write_bytes(b"<html></html>")
+    assert {r["path"][-5:]: r["is_pdf"] for r in tb.read_pdfs(spark, str(tmp_path / "pdf")).collect()} == {"a.pdf": True, "b.pdf": False}
     seen = spark.createDataFrame([(10, 2)], "retrieved long, failed long")
     text = report.summary_markdown("the", final, final.limit(3), cards, {"Sources": seen})
     assert "## Journals" in text and "| retrieved | 10 |" in text and "| selected | 3 |" in text
