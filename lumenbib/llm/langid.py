@@ -7,7 +7,9 @@ the probability of its family times its own among its siblings.
 The machines are fitted in the driver on the features of at most ``per_language`` labelled documents of each language
 outside the held-out quarter; scoring is one pass over whole texts without a shuffle. A text that is null or has no
 letter is ``und`` with score 0, as is every text if no language could be learned; a single learned language is predicted
-with score 1. Ties go to the language first in order. Repeated rows each get a row, an empty table gives an empty
+with score 1. Ties go to the language first in order. Scores shrink with the number of languages, so whether a text is of
+a learned language at all is told by another quantity: the share of its letters' n-grams that documents of the predicted
+language hold, against what that language's own documents reach on unseen folds. Repeated rows each get a row, an empty table gives an empty
 table, columns other than those named are not looked at.
 """
 
@@ -44,6 +46,9 @@ FAMILIES = {
     "semitic": "am ar he",
 }
 LETTER = re.compile(r"[^\W\d_]")
+NO_LETTERS = re.compile(r"[\W\d_]+")
+LOW, SLACK = 0.01, 0.9  # a text fits from SLACK times the quantile LOW of its language's unseen documents
+FOLDS = 3
 
 
 def family_of(language: str) -> str:
@@ -66,6 +71,19 @@ def as_bytes(text: str) -> np.ndarray:
     return np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def all_grams(data: np.ndarray) -> Iterator[np.ndarray]:
+    """``grams`` of long data by pieces that share two bytes, so no n-gram is lost or read twice."""
+    for k in range(0, len(data), PIECE):
+        last = k + PIECE + 1 >= len(data)
+        own = grams(data[k : k + PIECE + (1 if last else 2)])
+        yield own if last else np.concatenate([own[: PIECE], own[PIECE + 1 :]])  # pairs and triples that start here
+
+
+def letters_of(text: str) -> np.ndarray:
+    """Bytes of a text whose runs of anything but letters are blanks."""
+    return as_bytes(NO_LETTERS.sub(" ", text))
+
+
 class Duel(NamedTuple):
     """Column of a machine, the classes it separates, and the scale of its margin for the first."""
 
@@ -88,29 +106,38 @@ def coupled(names: list[str], duels: list[Duel], margins: np.ndarray) -> dict[st
     return {n: v / whole for n, v in total.items()}
 
 
+class Known(NamedTuple):
+    """N-grams that documents of a language hold, and the least share of them in a text of it."""
+
+    held: np.ndarray
+    least: float
+
+
 class LanguageModel(NamedTuple):
     languages: dict[str, list[str]]  # by family
     family_duels: list[Duel]
     duels: dict[str, list[Duel]]
     weights: np.ndarray
     biases: np.ndarray
+    known: dict[str, Known] = {}  # noqa: RUF012
 
     def margins(self, text: str) -> np.ndarray:
-        data = as_bytes(text)
         total, n = np.zeros(len(self.biases)), 0
-        for k in range(0, len(data), PIECE):  # pieces share two bytes, so no n-gram is lost or read twice
-            own = grams(data[k : k + PIECE + 1]) if k + PIECE + 1 >= len(data) else self._inner(data, k)
+        for own in all_grams(as_bytes(text)):
             total += self.weights[own].sum(axis=0, dtype=np.float64)
             n += len(own)
         return total * (SPREAD / max(n, 1)) + self.biases
 
-    @staticmethod
-    def _inner(data: np.ndarray, k: int) -> np.ndarray:
-        """Pairs and triples that start in a piece."""
-        part = data[k : k + PIECE + 2]
-        own = grams(part)
-        pairs = len(part) - 1
-        return np.concatenate([own[: pairs - 1], own[pairs:]])
+    def fits(self, text: str | None, language: str) -> bool:
+        """Whether enough of the text's n-grams are known from documents of a language, however many others there are."""
+        if not text or language not in self.known:
+            return False
+        own, n = self.known[language], 0
+        held = 0
+        for at in all_grams(letters_of(text)):
+            held += int(own.held[at].sum())
+            n += len(at)
+        return held >= own.least * n
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not LETTER.search(text):
@@ -134,8 +161,24 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     return spread_small(docs.select("doc_id", "lang", "text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
 
 
-def fit(names: list[str], rows: Rows) -> LanguageModel:
-    """Machines from rows and their languages."""
+def known_grams(rows: Rows) -> Known:
+    """From the letters' n-grams of a language's documents; one document leaves nothing unseen and asks for nothing."""
+
+    def held_by(at: np.ndarray) -> np.ndarray:
+        held = np.zeros(SIZE, bool)
+        held[rows.take(at).indices] = True
+        return held
+
+    every, shares = np.arange(len(rows)), []
+    if len(rows) > 1:
+        for k in range(FOLDS):
+            rest = rows.take(every[every % FOLDS == k])
+            shares.append(rest.dot(held_by(every[every % FOLDS != k]).astype(np.float64)) / rest.dot(np.ones(SIZE)))
+    return Known(held_by(every), SLACK * float(np.quantile(np.concatenate(shares), LOW)) if shares else 0.0)
+
+
+def fit(names: list[str], rows: Rows, letters: Rows | None = None) -> LanguageModel:
+    """Machines from rows and their languages; from the letters' n-grams what each language knows."""
     labels = np.array(names)
     families: dict[str, list[str]] = {}
     for name in sorted(set(names)):
@@ -156,37 +199,48 @@ def fit(names: list[str], rows: Rows) -> LanguageModel:
     between = duels(list(families), own_family)
     within = {f: duels(own, labels) for f, own in families.items()}
     weights = np.stack(columns, axis=1) if columns else np.zeros((SIZE, 0), np.float32)
-    return LanguageModel(families, between, within, np.ascontiguousarray(weights), np.array(biases))
+    known = {n: known_grams(letters.take(np.flatnonzero(labels == n))) for n in set(names)} if letters else {}
+    return LanguageModel(families, between, within, np.ascontiguousarray(weights), np.array(biases), known)
+
 
+def counted(data: np.ndarray) -> tuple[bytes, bytes]:
+    at, n = np.unique(grams(data), return_counts=True)
+    return at.astype("<i4").tobytes(), (n * (SPREAD / n.sum())).astype("<f4").tobytes()
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    @F.pandas_udf("at binary, n binary")
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, fits: bool = False) -> LanguageModel:
+    """``fits``: also learns what ``LanguageModel.fits`` needs."""
+
+    @F.pandas_udf("at binary, n binary, own_at binary, own_n binary")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch:
                 if text is None or not LETTER.search(text):
-                    rows.append((None, None))
+                    rows.append((None,) * 4)
                     continue
-                at, n = np.unique(grams(as_bytes(text)), return_counts=True)
-                rows.append((at.astype("<i4").tobytes(), (n * (SPREAD / n.sum())).astype("<f4").tobytes()))
-            yield pd.DataFrame(rows, columns=["at", "n"])
+                rows.append((*counted(as_bytes(text)), *(counted(letters_of(text)) if fits else (None, None))))
+            yield pd.DataFrame(rows, columns=["at", "n", "own_at", "own_n"])
+
+    def rows_from(at: str, n: str) -> Rows:
+        return rows_of([np.frombuffer(r[at], "<i4").astype(np.int64) for r in found], [np.frombuffer(r[n], "<f4") for r in found])
 
     rows = sample(docs, per_language).select("doc_id", "lang", features("text").alias("f")).select("doc_id", "lang", "f.*")
     found = sorted((r for r in rows.filter("at IS NOT NULL").collect()), key=lambda r: (r["doc_id"], r["lang"], bytes(r["at"])))
-    at = [np.frombuffer(r["at"], "<i4").astype(np.int64) for r in found]
-    return fit([r["lang"] for r in found], rows_of(at, [np.frombuffer(r["n"], "<f4") for r in found]))
+    return fit([r["lang"] for r in found], rows_from("at", "n"), rows_from("own_at", "own_n") if fits and found else None)
 
 
 def identified(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:
-    """``docs`` with a struct of ``lang_pred`` and ``score``."""
+    """``docs`` with a struct of ``lang_pred`` and ``score``, and ``fits`` if the model has learned it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = ["lang_pred", "score", *(["fits"] if model.known else [])]
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double" + (", fits boolean" if model.known else ""))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for batch in batches:
-            yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang_pred", "score"])
+            rows = [(t, own.predict(t)) for t in batch]
+            yield pd.DataFrame([(*p, own.fits(t, p[0])) if own.known else p for t, p in rows], columns=columns)
 
     return docs.withColumn(into, run(F.col(text).cast("string")))
 
