@@ -13,6 +13,7 @@ there is none). An empty table gives an empty table. Only the id and text column
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from lumenbib.llm.common import free_name, spread_small
 from lumenbib.llm.forest import LocalClasses, components
 from lumenbib.llm.tiles import TILE, per_group, tile_groups
-from lumenbib.session import cut_lineage
+from lumenbib.session import checkpoint_dir, cut_lineage
 
 WORDS, RADIUS, SEED = 4, 4, 42
 SUB_TILE = 512
@@ -126,19 +127,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     return prints.join(own, "fp").select("doc_id", "fp", digits.alias("fingerprint"), "component_id")
 
 
+def placed(docs: DataFrame, place: str) -> DataFrame:
+    """``docs`` written once to the shared folder with a number of each row, so that every later read has the same."""
+    spark = docs.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/placed-{uuid.uuid4().hex}"
+    docs.withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``docs`` with one row of each component: its smallest id, null ids last, the first row of equal ids.
 
-    ``docs`` must be a table that reads the same way twice, as rows are told apart by their place in it. Only the
-    places of rows that go are joined to the texts.
+    Rows are told apart by a number that is written with them once. Only the numbers of rows that go are joined to
+    the texts.
     """
     place = free_name(docs, "place")
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
-    prints = fingerprints(placed.select("doc_id", "text", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", place).alias("own")), words, "own")
+    rows = placed(docs, place)
+    prints = fingerprints(rows.select("doc_id", "text", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", place).alias("own")), words, "own")
     prints = cut_lineage(prints)
     points = cut_lineage(prints.groupBy("fp").agg(F.min("own").alias("first")))
     rooted = points.join(classes(points, radius, tile), "fp")
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
     firsts = rooted.join(heads, "root").select("fp", F.col(f"head.{place}").alias("head"))
     gone = prints.join(firsts, "fp").filter(F.col(f"own.{place}") != F.col("head")).select(F.col(f"own.{place}").alias(place))
-    return placed.join(gone, place, "left_anti").select(*docs.columns)
+    return rows.join(gone, place, "left_anti").select(*docs.columns)

@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from lumenbib.llm import simhash
 
 CODES = "en zh ja ko th fr de el ka hy vi id sw eu tl mt cy sq km lo".split()  # most are a family of their own
 COLUMNS = "doc_id long, text string, lang string"
@@ -33,3 +34,18 @@ def test_language_stage_keeps_learned_and_rejects_unlearned(spark, n):
 def test_language_stage_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], COLUMNS)
     assert corpus_pipeline.language(spark, docs, "").count() == 0
+
+
+def test_rows_that_go_do_not_follow_the_splits(spark, tmp_path):
+    """Other splits at the second read than at the first (cores that come or go) name no other rows."""
+    rows = [(i, " ".join(language_texts(i, 1, 40)), "en") for i in range(300)]
+    rows += [(1000 + i, t, "en") for i, t, _ in rows[:150]]
+    random.Random(0).shuffle(rows)
+    spark.createDataFrame(rows, COLUMNS).repartition(6).write.parquet(str(tmp_path / "d"))
+    kept = simhash.one_of_each(spark.read.parquet(str(tmp_path / "d")))
+    key = "spark.sql.files.openCostInBytes"
+    spark.conf.set(key, "0")
+    try:
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300))
+    finally:
+        spark.conf.unset(key)
