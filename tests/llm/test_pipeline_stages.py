@@ -49,3 +49,45 @@ def test_rows_that_go_do_not_follow_the_splits(spark, tmp_path):
         assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300))
     finally:
         spark.conf.unset(key)
+
+
+def plain_shingles(text, words=5):
+    parts = text.lower().split()
+    k = min(words, len(parts))
+    return {tuple(parts[i : i + k]) for i in range(len(parts) - k + 1)}
+
+
+def near_copy(text, draw, share):
+    """A text of which about ``share`` of the shingles of both are left, by changed words far apart."""
+    parts = text.split()
+    changes = round(len(parts) * (1 - share) / (1 + share) / 5)
+    for at in draw.sample(range(5, len(parts) - 5, 6), changes):
+        parts[at] = f"changed{draw.random()}"
+    return " ".join(parts)
+
+
+@pytest.mark.parametrize("tile", [512, 8])
+def test_near_duplicate_stage_equals_brute_force(spark, tile):
+    draw = random.Random(1)
+    texts = [t for k in range(40) for t in language_texts(k, 1, 200 + 7 * k)]
+    for share in (0.6, 0.75, 0.8, 0.82, 0.85, 0.9, 0.95):
+        texts += [near_copy(t, draw, share) for t in texts[:40]]
+    texts += [texts[0].upper(), texts[1] + "  ", "two words", "Two  words", "two other words", "", " "]
+    texts += [near_copy(texts[2], draw, 0.97) for _ in range(60)]  # a large group
+    draw.shuffle(texts)
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                a, b = root[i], root[j]
+                if a != b:
+                    root = [min(a, b) if r in (a, b) else r for r in root]
+    assert links > 200
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], COLUMNS).repartition(3)
+    kept = simhash.one_of_each(docs, tile=tile)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
