@@ -273,20 +273,26 @@ def backfill(papers: DataFrame, payloads: DataFrame) -> DataFrame:
     ).drop("known_doi", "new_landing_page_url", "new_pdf_url")
 
 
-def ranked_titles(titles: DataFrame, works: DataFrame, hits: int = 5, rare_words: int = 8) -> DataFrame:
-    """Best works ``(query_id, seq, hit_rank)`` of each title: any of its rarest words, more and rarer shared ones first.
+def ranked_titles(titles: DataFrame, works: DataFrame, hits: int = 5, rare_words: int = 8, least_ratio: float = 0.0) -> DataFrame:
+    """Best works ``(query_id, seq, hit_rank)`` of each title: any of its rarest words, the equal title first, then more
+    and rarer shared words, then the nearest length.
 
     ``titles`` has ``query_id``, a normalised title. Words are counted in the works' titles; a word that no work holds
-    finds nothing and is no loss.
+    finds nothing and is no loss. Works whose length alone keeps the ratio under ``least_ratio`` take no place.
     """
-    held = works.select("seq", F.explode(F.array_distinct(F.split(normalize_title("title"), " "))).alias("word")).filter("word <> ''")
+    title = normalize_title("title")
+    known = works.select("seq", title.alias("title"), F.length(title).alias("size"), F.xxhash64(title).alias("same"))
+    held = known.select("seq", "size", "same", F.explode(F.array_distinct(F.split("title", " "))).alias("word")).filter("word <> ''")
     asked = titles.select("query_id", F.explode(F.array_distinct(F.split("query_id", " "))).alias("word"))
     frequency = held.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarest = Window.partitionBy("query_id").orderBy("df", "word")
     probes = asked.join(frequency, "word").withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= rare_words)
-    met = held.join(probes, "word").groupBy("query_id", "seq").agg(F.sum(1 / F.log1p("df")).alias("weight"))
-    best = Window.partitionBy("query_id").orderBy(F.round("weight", 9).desc(), "seq")
-    return met.withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= hits).drop("weight")
+    size = F.length("query_id")
+    can_reach = 2 * F.least("size", size) >= least_ratio * (F.col("size") + size) - 1e-6  # a matcher counts at most the shorter one
+    met = held.join(probes, "word").filter(can_reach).groupBy("query_id", "seq", "size", "same").agg(F.sum(1 / F.log1p("df")).alias("weight"))
+    apart = F.when(F.col("same") == F.xxhash64("query_id"), -1).otherwise(0)
+    best = Window.partitionBy("query_id").orderBy(apart, F.round("weight", 9).desc(), F.abs(F.col("size") - size), "seq")
+    return met.withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= hits).select("query_id", "seq", "hit_rank")
 
 
 def resolve_titles(papers: DataFrame, works: DataFrame, hits: int = 5, threshold: float = 0.76) -> DataFrame:
@@ -296,7 +302,7 @@ def resolve_titles(papers: DataFrame, works: DataFrame, hits: int = 5, threshold
     """
     bare = papers.filter(normalize_doi("doi").isNull()).select("seq", strip("title").alias("title"))
     titled = bare.filter(F.length("title") >= 10).withColumn("query_id", normalize_title("title"))
-    found = ranked_titles(titled.select("query_id").filter("query_id <> ''").distinct(), works, hits)
+    found = ranked_titles(titled.select("query_id").filter("query_id <> ''").distinct(), works, hits, least_ratio=threshold)
     known = works.select(F.col("seq"), normalize_title("title").alias("hit_title"), normalize_doi("doi").alias("found_doi"))
     scored = (
         found.join(known, "seq")
