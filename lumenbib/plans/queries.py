@@ -431,7 +431,7 @@ def source_quota(spark, sf):
 @query
 def match_trace(spark, sf):
     e = expand.expand_topics(v.topics_view(spark, sf))
-    found = retrieve.retrieve(e, papers(spark, sf), 300)
+    found = retrieve.retrieve(e, papers(spark, sf))
     return found.select("topic_id", "seq", joined("matched_queries"))
 
 
@@ -440,7 +440,7 @@ def topic_search(spark, sf):
     """All stages for every topic at once."""
     tables = plan.search_topics(
         v.topics_view(spark, sf), papers(spark, sf), v.journals_view(spark), YEAR,
-        snapshot=v.unpaywall_view(spark, sf), feedback=v.feedback_view(spark, sf), load_model=stub_model, limit=100, merge=False,
+        snapshot=v.unpaywall_view(spark, sf), feedback=v.feedback_view(spark, sf), load_model=stub_model,
     )
     return tables["selected"].select("topic_id", "seq", "rule_score", "final_score", "final_decision", joined("labels"))
 
