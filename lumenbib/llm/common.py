@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +33,21 @@ def spread_small(df: DataFrame, width: int | None = None) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``bound`` labelled documents outside the held-out quarter.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, bound: int, features: Callable[[str], Column]
+) -> DataFrame:
+    """(doc_id, label, f) of at most ``bound`` labelled rows outside the held-out quarter; f are ``features`` of the text.
 
-    The bound takes the smallest hashes of the ids, a choice that depends on no value but the id. Rows without a
-    label, and ids with contradicting ones, teach nothing. The ids are broadcast: ``bound`` limits them.
+    The bound takes the smallest hashes of the ids, and of their rows (an id may repeat) the smallest hashes of id and
+    features. Rows without a label, and ids with contradicting ones, teach nothing. The ids are broadcast: ``bound``
+    limits them.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     clear = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).filter("label = most")
     chosen = clear.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return spread_small(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id")
+    rows = spread_small(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("doc_id", "label", features("text").alias("f"))
+    return rows.orderBy(F.xxhash64("doc_id", "f"), "doc_id").limit(bound)
 
 
 def free_name(df: DataFrame, wish: str) -> str:

@@ -4,7 +4,7 @@ Byte n-grams of the lower-cased text, hashed, feed linear support vector machine
 one-versus-one machines separate the languages within it. Margins are scaled to probabilities; a language's score is
 the probability of its family times its own among its siblings.
 
-The machines are fitted in the driver on the features of at most ``per_language`` labelled documents of each language
+The machines are fitted in the driver on the features of at most ``per_language`` labelled rows of each language
 outside the held-out quarter; scoring is one pass over whole texts without a shuffle. A text that is null or has no
 letter is ``und`` with score 0, as is every text if no language could be learned; a single learned language is predicted
 with score 1. Ties go to the language first in order. Scores shrink with the number of languages, so whether a text is of
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lumenbib.llm.common import held_out, spread_small
 from lumenbib.llm.linear import Rows, Scale, fit_scaled, rows_of
+from lumenbib.session import cut_lineage
 
 PER_LANGUAGE = 1200  # labelled documents of a language that the machines are fitted on, at most
 BITS = 16
@@ -151,34 +152,73 @@ class LanguageModel(NamedTuple):
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """(doc_id, text, lang): the smallest hashed ids of each language."""
-    known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    for parts in (["lang", "salt"], ["lang"]):  # a language that holds most rows is first cut in many tasks
-        order = Window.partitionBy(*parts).orderBy(F.xxhash64("doc_id"), "doc_id")
-        chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
-    chosen = chosen.select("doc_id", "lang")
-    return spread_small(docs.select("doc_id", "lang", "text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
+    """(doc_id, lang, text, n): at most ``per_language`` rows of each language, numbered from 1.
+
+    The smallest hashed ids are taken, and of their rows (an id may repeat) the smallest hashes of id and text.
+    """
 
+    def cut(rows: DataFrame, *mark: str) -> DataFrame:
+        rows = rows.withColumn("mark", F.xxhash64(*mark)).withColumn("salt", F.pmod(F.hash("mark"), F.lit(SALTS)))
+        for parts in (["lang", "salt"], ["lang"]):  # a language that holds most rows is first cut in many tasks
+            order = Window.partitionBy(*parts).orderBy("mark", "doc_id")
+            rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+        return rows.drop("mark", "salt")
 
-def known_grams(rows: Rows) -> Known:
-    """From the letters' n-grams of a language's documents; one document leaves nothing unseen and asks for nothing."""
+    known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = cut(known.distinct(), "doc_id").select("doc_id", "lang")
+    return cut(spread_small(docs.select("doc_id", "lang", "text")).join(F.broadcast(chosen), ["doc_id", "lang"]), "doc_id", "text")
 
-    def held_by(at: np.ndarray) -> np.ndarray:
-        held = np.zeros(SIZE, bool)
-        held[rows.take(at).indices] = True
-        return held
 
-    every, shares = np.arange(len(rows)), []
-    if len(rows) > 1:
-        for k in range(FOLDS):
-            rest = rows.take(every[every % FOLDS == k])
-            shares.append(rest.dot(held_by(every[every % FOLDS != k]).astype(np.float64)) / rest.dot(np.ones(SIZE)))
-    return Known(held_by(every), SLACK * float(np.quantile(np.concatenate(shares), LOW)) if shares else 0.0)
+def known_grams(chosen: DataFrame) -> dict[str, Known]:
+    """From the letters' n-grams of a language's documents in a ``sample``, learned where the documents are.
 
+    A fold's documents are measured against those of the other folds; where there are none, nothing is asked for.
+    """
+    rows = chosen.select("lang", (F.col("n") % FOLDS).alias("fold"), "text").repartition("lang", "fold")
 
-def fit(names: list[str], rows: Rows, letters: Rows | None = None) -> LanguageModel:
-    """Machines from rows and their languages; from the letters' n-grams what each language knows."""
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, fold, text in zip(batch["lang"], batch["fold"], batch["text"], strict=True):
+                own = held.setdefault((lang, fold), np.zeros(SIZE, bool))
+                if text and LETTER.search(text):
+                    for at in all_grams(letters_of(text)):
+                        own[at] = True
+        for (lang, fold), own in held.items():
+            yield pd.DataFrame({"lang": [lang], "fold": [fold], "held": [np.packbits(own).tobytes()]})
+
+    maps: dict[str, dict[int, np.ndarray]] = {}
+    for r in rows.mapInPandas(gather, "lang string, fold int, held binary").collect():
+        maps.setdefault(r["lang"], {})[r["fold"]] = np.frombuffer(r["held"], np.uint8)
+    shared = chosen.sparkSession.sparkContext.broadcast(maps)
+
+    @F.pandas_udf("double")
+    def share(langs: pd.Series, folds: pd.Series, texts: pd.Series) -> pd.Series:
+        out, ready = [], {}
+        for lang, fold, text in zip(langs, folds, texts, strict=True):
+            if not text or not LETTER.search(text):
+                out.append(None)
+                continue
+            if (lang, fold) not in ready:
+                ready[lang, fold] = union([m for k, m in shared.value[lang].items() if k != fold])
+            n = held = 0
+            for at in all_grams(letters_of(text)):
+                held += int(ready[lang, fold][at].sum())
+                n += len(at)
+            out.append(held / n)
+        return pd.Series(out, dtype="float64")
+
+    shares = rows.select("lang", share("lang", "fold", "text").alias("share")).filter("share = share")
+    least = {r["lang"]: r["least"] for r in shares.groupBy("lang").agg(F.percentile("share", F.lit(LOW)).alias("least")).collect()}
+    return {lang: Known(union(list(own.values())), SLACK * least[lang]) for lang, own in maps.items() if lang in least}
+
+
+def union(maps: list[np.ndarray]) -> np.ndarray:
+    return np.unpackbits(np.bitwise_or.reduce(maps)).astype(bool) if maps else np.zeros(SIZE, bool)
+
+
+def fit(names: list[str], rows: Rows) -> LanguageModel:
+    """Machines from rows and their languages."""
     labels = np.array(names)
     families: dict[str, list[str]] = {}
     for name in sorted(set(names)):
@@ -190,7 +230,7 @@ def fit(names: list[str], rows: Rows, letters: Rows | None = None) -> LanguageMo
         made = []
         for a, b in combinations(classes, 2):
             at = np.flatnonzero((of == a) | (of == b))
-            model, scale = fit_scaled(rows.take(at), of[at] == a, SIZE, cost=10.0)
+            model, scale = fit_scaled(rows, of[at] == a, SIZE, at=at, cost=10.0)
             made.append(Duel(len(columns), a, b, scale))
             columns.append(model.weights.astype(np.float32))
             biases.append(model.bias)
@@ -199,8 +239,7 @@ def fit(names: list[str], rows: Rows, letters: Rows | None = None) -> LanguageMo
     between = duels(list(families), own_family)
     within = {f: duels(own, labels) for f, own in families.items()}
     weights = np.stack(columns, axis=1) if columns else np.zeros((SIZE, 0), np.float32)
-    known = {n: known_grams(letters.take(np.flatnonzero(labels == n))) for n in set(names)} if letters else {}
-    return LanguageModel(families, between, within, np.ascontiguousarray(weights), np.array(biases), known)
+    return LanguageModel(families, between, within, np.ascontiguousarray(weights), np.array(biases))
 
 
 def counted(data: np.ndarray) -> tuple[bytes, bytes]:
@@ -211,23 +250,23 @@ def counted(data: np.ndarray) -> tuple[bytes, bytes]:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, fits: bool = False) -> LanguageModel:
     """``fits``: also learns what ``LanguageModel.fits`` needs."""
 
-    @F.pandas_udf("at binary, n binary, own_at binary, own_n binary")
+    @F.pandas_udf("at binary, n binary")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text in batch:
-                if text is None or not LETTER.search(text):
-                    rows.append((None,) * 4)
-                    continue
-                rows.append((*counted(as_bytes(text)), *(counted(letters_of(text)) if fits else (None, None))))
-            yield pd.DataFrame(rows, columns=["at", "n", "own_at", "own_n"])
-
-    def rows_from(at: str, n: str) -> Rows:
-        return rows_of([np.frombuffer(r[at], "<i4").astype(np.int64) for r in found], [np.frombuffer(r[n], "<f4") for r in found])
-
-    rows = sample(docs, per_language).select("doc_id", "lang", features("text").alias("f")).select("doc_id", "lang", "f.*")
-    found = sorted((r for r in rows.filter("at IS NOT NULL").collect()), key=lambda r: (r["doc_id"], r["lang"], bytes(r["at"])))
-    return fit([r["lang"] for r in found], rows_from("at", "n"), rows_from("own_at", "own_n") if fits and found else None)
+            rows = [counted(as_bytes(t)) if t and LETTER.search(t) else (None, None) for t in batch]
+            yield pd.DataFrame(rows, columns=["at", "n"])
+
+    chosen = cut_lineage(sample(docs, per_language)) if fits else sample(docs, per_language)
+    rows = chosen.select("doc_id", "lang", features("text").alias("f")).select("doc_id", "lang", "f.*").filter("at IS NOT NULL")
+    found = rows.orderBy("doc_id", "lang", "at").toArrow()  # the features stay in Arrow's buffers until they are put together
+    names = found.column("lang").to_pylist()
+    at = [np.frombuffer(x.as_buffer(), "<i4") for x in found.column("at")]
+    n = [np.frombuffer(x.as_buffer(), "<f4") for x in found.column("n")]
+    held = rows_of(at, n)
+    del found, at, n
+    model = fit(names, held)
+    del held
+    return model._replace(known=known_grams(chosen)) if fits else model
 
 
 def identified(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:

@@ -33,7 +33,7 @@ from lumenbib.session import checkpoint_dir, cut_lineage
 WORDS, RADIUS, SEED = 4, 4, 42
 STAGE_WORDS, LEAST_SIMILARITY = 5, 0.8  # of the pipeline's stage
 BANDS, ROWS = 30, 6
-TEXT_TILE = 512
+TEXT_TILE = 1 << 19  # shingles of the texts that a task holds as one side
 SUB_TILE = 512
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 STEP = 1 << 16
@@ -227,7 +227,7 @@ def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, least: float = LEAST_
     Near copies share at least ``least`` of the distinct shingles of ``words`` words of both (Jaccard), or are linked by
     such pairs. Candidates share one of ``BANDS`` keys of ``ROWS`` least hashes: a pair at 0.8 does with probability
     0.9999, a closer one more surely. Every link is verified on whole texts: those of a candidate component meet once,
-    in tiles of at most ``tile`` texts whose counts of shingles can agree. Texts of the same words, also of none, are one.
+    in tiles of about ``tile`` shingles whose counts can agree. Texts of the same words, also of none, are one.
 
     Rows are told apart by a number that is written with them once. Only the numbers of rows that go are joined to
     the texts.
@@ -248,7 +248,7 @@ def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, least: float = LEAST_
     # Counts of a verified pair differ by less than a factor of 1 / least: the logarithms' whole parts by one at most.
     size = F.floor(F.log("n") / F.lit(-float(np.log(least))) + 1e-9)
     whole = cut_lineage(members.join(texts.select("at", "text"), "at"))
-    groups = tile_groups(whole, size, 2, F.xxhash64("at"), tile)
+    groups = tile_groups(whole, size, 2, F.xxhash64("at"), tile, F.greatest("n", F.lit(1)))
     linked = components(per_group(groups, _verify_group(words, least), "a long, b long")).select(F.col("node").alias("at"), "root")
     rooted = points.select("same", "own", "at").join(linked, "at", "left").withColumn("root", F.coalesce("root", "at"))
     heads = rooted.groupBy("root").agg(F.min("own").alias("head"))

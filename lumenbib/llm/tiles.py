@@ -17,17 +17,21 @@ from lumenbib.session import shuffle_width
 TILE = 4096
 
 
-def tile_groups(points: DataFrame, order: Column, reach: int, spread: Column, tile: int = TILE) -> DataFrame:
+def tile_groups(
+    points: DataFrame, order: Column, reach: int, spread: Column, tile: int = TILE, weight: Column | None = None
+) -> DataFrame:
     """``points`` with a ``key`` become groups: adds ``pair`` (a group together with key) and ``side``.
 
     ``side`` is 0 for a whole block or a tile with itself, else 1 and 2 for the two tiles. Tiles of a large block are
     ranges of ``order`` (an integer), subdivided by the hash ``spread``; pairs of tiles whose orders differ by more
-    than ``reach`` are left out, as no link is possible there.
+    than ``reach`` are left out, as no link is possible there. ``tile`` bounds the number of points, or the sum of
+    their ``weight``.
     """
-    large = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile).select("key")
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    large = points.groupBy("key").agg(size.alias("n")).filter(F.col("n") > tile).select("key")
     whole = points.join(large, "key", "left_anti").withColumns({"pair": F.lit(0).cast("long"), "side": F.lit(0)})
     cut = points.join(large, "key").withColumns({"o": order.cast("int"), "h": F.pmod(spread, F.lit(1 << 20)).cast("int")})
-    sizes = cut.groupBy("key", "o").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    sizes = cut.groupBy("key", "o").agg(F.ceil(size / tile).cast("int").alias("parts"))
     one = sizes.select("key", "o", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
     other = one.select("key", F.col("o").alias("o2"), F.col("s").alias("s2"))
     ahead = (F.col("o2") > F.col("o")) & (F.col("o2") <= F.col("o") + reach)

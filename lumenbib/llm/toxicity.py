@@ -229,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> ToxicityMod
         for batch in batches:
             yield pd.Series([np.array(of(t), "<i4").tobytes() for t in batch.fillna("")])
 
-    sample = labelled_sample(docs, labels, "toxic", bound).select("doc_id", "label", features("text").alias("f"))
+    sample = labelled_sample(docs, labels, "toxic", bound, features)
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["f"])))
     positive = np.array([r["label"] == 1 for r in rows], bool)
     return fit([np.frombuffer(r["f"], "<i4") for r in rows], positive)

@@ -5,7 +5,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from lumenbib.llm import simhash
+from lumenbib.llm import langid, simhash
+from lumenbib.llm.common import labelled_sample
 
 CODES = "en zh ja ko th fr de el ka hy vi id sw eu tl mt cy sq km lo".split()  # most are a family of their own
 COLUMNS = "doc_id long, text string, lang string"
@@ -66,7 +67,7 @@ def near_copy(text, draw, share):
     return " ".join(parts)
 
 
-@pytest.mark.parametrize("tile", [512, 8])
+@pytest.mark.parametrize("tile", [1 << 19, 2000])
 def test_near_duplicate_stage_equals_brute_force(spark, tile):
     draw = random.Random(1)
     texts = [t for k in range(40) for t in language_texts(k, 1, 200 + 7 * k)]
@@ -91,3 +92,71 @@ def test_near_duplicate_stage_equals_brute_force(spark, tile):
     kept = simhash.one_of_each(docs, tile=tile)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
+def test_bounds_are_of_rows_not_of_ids(spark):
+    rows = [(1, "one text of many", "en")] * 300 + [(3, "une autre", "fr"), (4, "autre encore", "fr")]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    sample = labelled_sample(docs, labels, "quality", 2, lambda c: docs[c])
+    assert sample.count() == 2
+    got = langid.sample(docs, 2).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"en": 2, "fr": 2}
+
+
+def planted(n=400):
+    """Documents in two learned languages, some toxic, with copies, an unlearned language and odd rows."""
+    draw = random.Random(4)
+    rude = ["you stupid idiot", "worthless disgusting trash", "shut up moron", "i hate you pathetic loser"]
+    docs, labels = [], []
+    for code in ("en", "fr"):
+        for t in language_texts(code == "fr", n, 80):
+            toxic = draw.random() < 0.3
+            words = t.split()
+            if toxic:
+                for _ in range(6):
+                    words.insert(draw.randrange(len(words)), draw.choice(rude))
+            docs.append((len(docs), " ".join(words), code, toxic))
+    labels = [(i, 0, int(toxic)) for i, _, _, toxic in docs]
+    clean = [d for d in docs if not d[3]]
+    docs += [(1000 + i, t, code, x) for i, t, code, x in clean[:5]]  # copies of larger id
+    docs += [(2000 + k, t, None, False) for k, t in enumerate(language_texts(77, 6, 80))]
+    docs += [(3000, None, None, False), (3001, "", None, False), (3002, "12 34 !!", None, False), (None, None, None, False)]
+    return docs, labels
+
+
+def test_whole_pipeline_with_planted_documents(spark, tmp_path):
+    docs, labels = planted()
+    table = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang, _ in docs], COLUMNS + ", source string, n_chars long")
+    table.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == table.columns
+        kept[name] = {r["doc_id"] for r in now.select("doc_id").collect()}
+    toxic = {i for i, _, _, x in docs if x and i in kept["language"]}
+    assert not {i for i in kept["language"] if i is None or i >= 2000}
+    assert len(kept["language"]) >= 0.95 * 800
+    assert len(toxic - kept["toxicity"]) >= 0.9 * len(toxic)
+    assert len(kept["toxicity"]) >= 0.95 * (len(kept["language"]) - len(toxic))
+    copies = {i for i in kept["toxicity"] if i >= 1000}
+    assert kept["near_duplicates"] == {i for i in kept["toxicity"] if not (i in copies and any(
+        d[0] in kept["toxicity"] and d[0] < 1000 and d[1] == next(x[1] for x in docs if x[0] == i) for d in docs if d[0] is not None))}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == kept["near_duplicates"]
+    from tokenizers import Tokenizer
+
+    from lumenbib.llm.queries import vocabulary
+
+    model = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    want = {d[0]: len(model.encode(d[1], add_special_tokens=False).ids) + 1 for d in docs if d[0] in kept["near_duplicates"]}
+    got = {}
+    for r in rows:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == want
+    filled = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= 4096
