@@ -33,6 +33,7 @@ CAPACITY = 4096
 END_ID = 1
 JOINED, KEPT = 4096, 300_000
 MARKS = ".,;:!?"
+LAST_LATIN = "\xff"
 
 
 def latin(text: str) -> bool:
@@ -47,8 +48,8 @@ def latin(text: str) -> bool:
 def word_ids(path: str) -> Memo:
     """Ids of blank-free words as little-endian bytes.
 
-    The tokenizer never joins across a blank or a line end, nor a letter with a mark behind it: words that differ in
-    that mark alone share their ids.
+    The tokenizer never joins across a blank or a line end, nor a Latin-1 letter with a mark behind it: words that
+    differ in that mark alone share their ids.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -91,7 +92,8 @@ def word_ids(path: str) -> Memo:
 
     def with_marks(words: list[str]) -> list[bytes]:
         words = [w.lower() if w.isascii() else w for w in words]
-        ends = [w[-1:] in marks and w[-2:-1].isalpha() for w in words]
+        # Only behind Latin-1 letters: others may turn into a letter and a combining mark, which a mark behind it joins.
+        ends = [w[-1:] in marks and (c := w[-2:-1]).isalpha() and c <= LAST_LATIN for w in words]
         found = stems([w[:-1] if e else w for w, e in zip(words, ends, strict=True)])
         return [x + marks[w[-1]] if e else x for x, w, e in zip(found, words, ends, strict=True)]
 

@@ -82,6 +82,19 @@ def test_tokenizer_words_are_independent():
         assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_ids_over_all_of_unicode():
+    tokenizer, known, draw = Tokenizer.from_file(WORDS), packing.word_ids(WORDS), random.Random(11)
+
+    def letter():
+        where = draw.choice([(32, 127), (0xA0, 0x250), (0x250, 0xD800), (0xE000, 0x10000), (0x10000, 0x110000)])
+        return draw.choice([" ", draw.choice(packing.MARKS), chr(draw.randrange(*where))])
+
+    texts = ["".join(letter() for _ in range(draw.randrange(1, 30))) for _ in range(20000)]
+    texts += ["\u0130?", "a\u095a;", "\ufb31;", "\ufb4a, b", "\u0958.", "x\u095f!"]
+    for text, ids in zip(texts, packing.text_ids(texts, known), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def least_bins(items, capacity):
     """Exact number of bins by search."""
     best = len(items)
