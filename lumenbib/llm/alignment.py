@@ -4,7 +4,7 @@ Token bytes of both tokenizers cover the same bytes, so the byte offsets where t
 groups, and every (A id, B id) occurrence inside a group is a link. The count of an id pair is the number of documents
 that hold it linked. Nothing but compressed runs is counted:
 
-* A task encodes slices of whole documents. The pair-document records of a slice are radix-partitioned by A id, sorted
+* A task encodes slices of whole documents, each distinct unit (a word behind its blank) of a slice once. The pair-document records of a slice are radix-partitioned by A id, sorted
   with the A id as major key and spilled as one zstd run per radix: the distinct pairs with their number of documents,
   and the records (document, occurrences) behind them.
 * The pairs of up to ``FAN_IN`` runs of a radix meet in one task, which merges them with a heap by A id. When the heap
@@ -41,7 +41,7 @@ from lumenbib.session import cut_lineage, shuffle_width
 
 RADIX = 64
 FAN_IN = 256
-SLICE_CHARS, SEGMENT, BATCH = 1 << 22, 1 << 16, 1 << 18
+SLICE_CHARS, SEGMENT, JOINED = 1 << 22, 1 << 16, 1 << 14
 WIDE_GROUP = 1 << 10
 SPACE = "▁"
 
@@ -92,74 +92,145 @@ class Aligner:
         self.n_a, self.n_b = len(self.a_bytes), len(self.b_bytes)
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
-        # Both encode a text behind a blank like a text of its own if no piece reaches over the blank.
-        self.cut = None if crosses else re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+        # Where a blank follows anything but white space a word of A starts, and no piece of B reaches over it: the parts
+        # between such blanks, each behind its blank, encode alone as they do in the text.
+        self.cut = None if crosses else re.compile(r"(?<=\S) (?!\Z)")
         self.spelled = [b"%d%c" % (i, mark) for mark in b",|;" for i in range(max(self.n_a, self.n_b))]
+        self.spelled_size = np.array([len(x) for x in self.spelled], np.int64)
         self.step = max(self.n_a, self.n_b)
         if self.n_a * self.n_b >= 1 << 39:
             raise ValueError("id pairs do not fit beside a document's place")
 
-    def segments(self, text: str) -> Iterator[str]:
-        """Parts of a text that encode alone as they do in it; the blank between two parts is left out."""
+    def segments(self, text: str) -> Iterator[list[str]]:
+        """Units of a text, in lists of bounded length; the blank in front of a unit is left out."""
         start = 0
         while self.cut and len(text) - start > SEGMENT:
             found = self.cut.search(text, start + SEGMENT)
             if not found:
                 break
-            yield text[start : found.start()]
+            yield self.cut.split(text[start : found.start()])
             start = found.end()
-        yield text[start:]
-
-    def align(self, texts: list[str]) -> list[tuple[np.ndarray, ...] | None]:
-        """Per text: A ids, B ids, and the group (from 0) of each; None where the bytes differ."""
-        found = self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)
-        a_ids = [np.array(x.ids, np.int64) for x in found]
-        b_lists = self.b.encode(texts, num_threads=1)
-        out = []
-        for t, a, b_list in zip(texts, a_ids, b_lists, strict=True):
-            want, b = f" {t}".encode(), np.array(b_list, np.int64)
-            same = b"".join(map(self.b_bytes.__getitem__, b_list)) == want
-            if not same or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != want:
-                out.append(None)
+        yield self.cut.split(text[start:]) if self.cut else [text]
+
+    def _align(self, joined: list[str]) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
+        """Of texts: the bytes both tokenizers must cover, ids of A and of B."""
+        want = [f" {t}" for t in joined]
+        a = [np.array(x.ids, np.int64) for x in self.a.encode_batch(want, add_special_tokens=False)]
+        b = [np.array(x, np.int64) for x in self.b.encode(joined, num_threads=1)]
+        return [w.encode() for w in want], a, b
+
+    def _covers(self, want: bytes, a: np.ndarray, b: np.ndarray) -> bool:
+        said = b"".join(map(self.b_bytes.__getitem__, b.tolist()))
+        return said == want and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == want
+
+    def align(self, units: list[str]) -> Iterator[tuple[range, np.ndarray | None, np.ndarray, np.ndarray]]:
+        """Units in order, many at once: (their range, where each ends in bytes, A ids, B ids).
+
+        Units whose bytes differ come alone, with None: texts that do not cover their bytes are halved.
+        """
+        todo, start, size = [], 0, 0
+        for i, u in enumerate(units):
+            alone = u[-1].isspace()  # a blank behind it would not start a word
+            size += len(u) + 1
+            if alone and i > start:
+                todo.append(range(start, i))
+                start = i
+            if alone or size > JOINED:
+                todo.append(range(start, i + 1))
+                start, size = i + 1, 0
+        if start < len(units):
+            todo.append(range(start, len(units)))
+        for k in range(0, len(todo), 16):
+            waiting = todo[k : k + 16][::-1]
+            texts = [" ".join(units[x.start : x.stop]) for x in waiting]
+            known = dict(zip(waiting, zip(*self._align(texts), strict=True), strict=True))
+            while waiting:
+                own = waiting.pop()
+                if own not in known:
+                    known[own] = next(zip(*self._align([" ".join(units[own.start : own.stop])]), strict=True))
+                want, a, b = known.pop(own)
+                if self._covers(want, a, b):
+                    ends = np.cumsum([len(u.encode()) + 1 for u in units[own.start : own.stop]])
+                    yield own, ends, a, b
+                elif len(own) == 1:
+                    yield own, None, a, b
+                else:
+                    half = len(own) // 2
+                    waiting += [own[half:], own[:half]]
+
+    def table(self, units: list[str]) -> "Units":
+        """Tokens, groups and links of each unit."""
+        out = Units(len(units))
+        spelled, pairs, each, where = [], [], [], []
+        for own, ends, a, b in self.align(units):
+            if ends is None:
+                out.good[own.start] = False
+                spelled.append(b"")
                 continue
+            k = len(own)
             a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-            both = np.zeros(len(want) + 1, np.int8)
+            both = np.zeros(int(ends[-1]) + 1, np.int8)
             both[a_end] = 1
             both[b_end] += 2
             closed = np.cumsum(both == 3)
-            out.append((a, b, closed[a_end - 1], closed[b_end - 1]))
+            ga, gb = closed[a_end - 1], closed[b_end - 1]
+            unit_a, unit_b = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
+            out.sums[own.start : own.stop, 0] = np.bincount(unit_a, minlength=k)
+            out.sums[own.start : own.stop, 1] = np.bincount(unit_b, minlength=k)
+            out.sums[own.start : own.stop, 2] = np.diff(closed[ends], prepend=0)
+            linked, times, unit = self.links(a, b, ga, gb, unit_a)
+            out.sums[own.start : own.stop, 3] = np.bincount(unit, weights=times, minlength=k)
+            pairs.append(linked)
+            each.append(times)
+            where.append(unit + own.start)
+            spelled += self.spell(a, b, ga, gb, unit_a, unit_b, k)
+        out.spelled = spelled
+        if pairs:
+            unit = np.concatenate(where)
+            order = np.argsort(unit, kind="stable")
+            out.pairs, out.each = np.concatenate(pairs)[order], np.concatenate(each)[order]
+            out.edges = np.searchsorted(unit[order], np.arange(len(units) + 1))
         return out
 
-    def spell(self, a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> bytes:
-        """Groups as decimal ids, ``a1,a2|b1;a3|b2;`` with a mark behind each group."""
+    def spell(self, a, b, ga, gb, unit_a, unit_b, n: int) -> list[bytes]:
+        """Groups of each unit as decimal ids, ``a1,a2|b1;a3|b2;`` with a mark behind each group."""
         # marks: a comma between ids, a bar behind the last A id, a semicolon behind the last B id of a group
         last_a, last_b = np.append(ga[1:] != ga[:-1], True), np.append(gb[1:] != gb[:-1], True)
         codes = np.concatenate([a + self.step * last_a, b + 2 * self.step * last_b])
         order = np.argsort(np.concatenate([2 * ga, 2 * gb + 1]), kind="stable")
-        return b"".join(map(self.spelled.__getitem__, codes[order].tolist()))
-
-    def links(self, a, b, ga, gb) -> tuple[int, np.ndarray, np.ndarray]:
-        """Number of linked occurrences; the linked pairs (a * n_b + b) and how often each, pairs may come again."""
+        codes = codes[order]
+        whole = b"".join(map(self.spelled.__getitem__, codes.tolist()))
+        tokens = np.cumsum(np.bincount(unit_a, minlength=n) + np.bincount(unit_b, minlength=n))
+        edges = np.concatenate([[0], np.cumsum(self.spelled_size[codes])])[np.concatenate([[0], tokens])].tolist()
+        return [whole[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+
+    def links(self, a, b, ga, gb, unit_a) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Linked pairs (a * n_b + b), how often each, and the unit; pairs may come again."""
         n = int(ga[-1]) + 1
         in_a, in_b = np.bincount(ga, minlength=n), np.bincount(gb, minlength=n)
-        total = int((in_a * in_b).sum())
-        wide = np.flatnonzero(in_a * in_b > WIDE_GROUP)
-        start_b = np.cumsum(in_b) - in_b
-        times = in_b[ga]
-        if len(wide):
-            is_wide = np.zeros(n, bool)
-            is_wide[wide] = True
-            times = np.where(is_wide[ga], 0, times)
+        wide = in_a * in_b > WIDE_GROUP
+        start_a, start_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        times = np.where(wide[ga], 0, in_b[ga])
         at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         pairs = [np.repeat(a, times) * self.n_b + b[np.repeat(start_b[ga], times) + at]]
-        each = [np.ones(len(pairs[0]), np.int64)]
-        start_a = np.cumsum(in_a) - in_a
-        for g in wide.tolist():  # a long group holds few distinct ids: their products, not its occurrences
+        each, unit = [np.ones(len(pairs[0]), np.int64)], [np.repeat(unit_a, times)]
+        for g in np.flatnonzero(wide).tolist():  # a long group holds few distinct ids: their products, not its occurrences
             x, nx = np.unique(a[start_a[g] : start_a[g] + in_a[g]], return_counts=True)
             y, ny = np.unique(b[start_b[g] : start_b[g] + in_b[g]], return_counts=True)
             pairs.append((x[:, None] * self.n_b + y).ravel())
             each.append((nx[:, None] * ny).ravel())
-        return total, np.concatenate(pairs), np.concatenate(each)
+            unit.append(np.full(len(pairs[-1]), unit_a[start_a[g]]))
+        return np.concatenate(pairs), np.concatenate(each), np.concatenate(unit)
+
+
+class Units:
+    """What is known of each unit: sums (A tokens, B tokens, groups, links), its groups spelled out, its links."""
+
+    def __init__(self, n: int):
+        self.good = np.ones(n, bool)
+        self.sums = np.zeros((n, 4), np.int64)
+        self.spelled: list[bytes] = []
+        self.pairs, self.each, self.edges = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -176,14 +247,14 @@ def _summed(keys: list[np.ndarray], each: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 class Slice:
-    """Documents whose records are spilled together."""
+    """Documents whose records are spilled together; a unit that comes again is encoded once."""
 
     def __init__(self, own: Aligner):
         self.own, self.chars, self.held = own, 0, 0
-        self.rows: list[tuple] = []
         self.keys: list[np.ndarray] = []
         self.each: list[np.ndarray] = []
-        self.waiting: list[tuple[int, str]] = []
+        self.known: dict[str, int] = {}
+        self.waiting: list[tuple[int, np.ndarray]] = []
         self.queued = 0
         self.sums: list[list | None] = []  # per document: n_a, n_b, n_groups, n_links, digest; None without tokens
 
@@ -191,32 +262,39 @@ class Slice:
         place = len(self.sums)
         self.sums.append([0, 0, 0, 0, hashlib.sha256(), b""] if text else None)
         self.chars += len(text)
-        for part in self.own.segments(text) if text else ():
-            self.waiting.append((place, part))
-            self.queued += len(part)
-            if self.queued > BATCH:
+        for units in self.own.segments(text) if text else ():
+            number = self.known.setdefault
+            self.waiting.append((place, np.array([number(u, len(self.known)) for u in units], np.int64)))
+            self.queued += sum(map(len, units)) + len(units)
+            if self.queued > SLICE_CHARS:
                 self.work()
 
     def work(self) -> None:
-        places, texts = [p for p, _ in self.waiting], [t for _, t in self.waiting]
-        self.waiting, self.queued = [], 0
-        for place, found in zip(places, self.own.align(texts) if texts else [], strict=True):
+        waiting, units = self.waiting, self.own.table(list(self.known))
+        self.waiting, self.known, self.queued = [], {}, 0
+        if not waiting:
+            return
+        for place, own in waiting:
             row = self.sums[place]
             if row is None:
                 continue
-            if found is None:
+            if not units.good[own].all():
                 self.sums[place] = None
                 continue
-            a, b, ga, gb = found
-            total, pairs, each = self.own.links(a, b, ga, gb)
-            spelled = row[5] + self.own.spell(a, b, ga, gb)
+            spelled = row[5] + b"".join(map(units.spelled.__getitem__, own.tolist()))
             row[4].update(spelled[:-1])
-            row[5] = spelled[-1:]  # the mark behind the last group waits for the next segment
-            for i, n in enumerate((len(a), len(b), int(ga[-1]) + 1, total)):
+            row[5] = spelled[-1:]  # the mark behind the last group waits for the next units
+            for i, n in enumerate(units.sums[own].sum(axis=0).tolist()):
                 row[i] += n
-            self.keys.append(pairs << 24 | place)
-            self.each.append(each)
-            self.held += len(pairs)
+        places = np.repeat([p for p, _ in waiting], [len(x) for _, x in waiting])
+        n = len(units.good)
+        held, times = np.unique(places * n + np.concatenate([x for _, x in waiting]), return_counts=True)
+        place, unit = held // n, held % n
+        first, width = units.edges[unit], np.diff(units.edges)[unit]
+        at = np.repeat(first - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+        self.keys.append(units.pairs[at] << 24 | np.repeat(place, width))
+        self.each.append(units.each[at] * np.repeat(times, width))
+        self.held += len(at)
         if self.held > 1 << 21:
             self.reduce()
 

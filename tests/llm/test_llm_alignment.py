@@ -131,8 +131,10 @@ def test_alignment_equals_a_plain_version(spark, slice_chars, fan_in):
     assert len(got) == len(rows)
 
 
-def test_alignment_of_long_texts_in_segments(spark, monkeypatch):
+@pytest.mark.parametrize("slice_chars", [1 << 22, 100])
+def test_alignment_of_long_texts_in_segments(monkeypatch, slice_chars):
     monkeypatch.setattr(alignment, "SEGMENT", 30)
+    monkeypatch.setattr(alignment, "SLICE_CHARS", slice_chars)
     tools = alignment.Aligner(vocabulary(BYTES), vocabulary(PIECES))
     rows = [t for t in texts(3, 40, 300)] + ["Energy policy of the north  and\nof the south " * 30, "energy and policy " * 20 + "▁"]
     own = alignment.Slice(tools)
