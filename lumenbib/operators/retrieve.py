@@ -1,8 +1,9 @@
-"""Retrieval: query pools against the paper table by an equi-join on one rare word per query.
+"""Retrieval: query pools against a positional index of the paper table.
 
-A query is a conjunction of groups of alternatives. A paper can only match when it holds a word of
-each group, so every query probes with the words of its rarest group alone and the full condition
-is checked on what comes back. Frequent words never drive the join.
+A query is a conjunction of groups of alternatives, each a word or a phrase; a quoted part of a query is one phrase. A
+paper can only match when it holds all tokens of an alternative of each group, so every query probes with the rarest
+tokens of its cheapest group, and the places of its other tokens are looked up by paper and token for what comes back.
+A frequent word drives the probe only where every group has one; its postings are then dealt out by paper.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenbib.functions.text import non_blank, normalize_title, squeeze, words
+from lumenbib.functions.text import normalize_title, squeeze, words
 from lumenbib.operators.expand import concept_pool, query_pool
+from lumenbib.operators.postings import last_word, phrase, postings, probe
 from lumenbib.session import cut_lineage
 
 # Search modes in turn, share of each source, least share.
@@ -102,10 +104,16 @@ def provider_queries(expanded: DataFrame, provider: str, limit: int = 500, most:
     return first.select(columns).unionByName(extra.select(columns)).unionByName(concept)
 
 
+QUOTED = r'"([^"]*)"'
+
+
 def query_groups(query: Column | str) -> Column:
-    """Conjunction of alternatives: one group per word, or the AND / OR groups of a boolean query."""
+    """Conjunction of alternatives: the quoted phrases and the single words of a plain query, or the AND / OR groups
+    of a boolean one."""
     query = F.col(query) if isinstance(query, str) else query
-    plain = F.transform(F.array_distinct(words(query)), lambda w: F.array(w))
+    quoted = F.transform(F.regexp_extract_all(query, F.lit(QUOTED), F.lit(1)), lambda p: normalize_title(p))
+    single = words(F.regexp_replace(query, QUOTED, " "))
+    plain = F.transform(F.array_distinct(F.filter(F.concat(quoted, single), lambda w: w != "")), lambda w: F.array(w))
     groups = F.transform(
         F.split(query, " AND "),
         lambda g: F.filter(F.transform(F.split(g, " OR "), lambda p: normalize_title(p)), lambda p: p != ""),
@@ -113,21 +121,6 @@ def query_groups(query: Column | str) -> Column:
     return F.when(query.rlike(" (AND|OR) "), groups).otherwise(plain)
 
 
-def _fields(papers: DataFrame) -> DataFrame:
-    """Searchable text per paper, blank-padded so that whole words match."""
-    title = F.coalesce("title", F.lit(""))
-    both = F.concat_ws(" ", title, F.coalesce("abstract", F.lit("")))
-    pad = F.lit(" ")
-    return papers.select(
-        "seq",
-        "source_database",
-        "year",
-        F.concat(pad, normalize_title(title), pad).alias("title_text"),
-        F.concat(pad, normalize_title(both), pad).alias("abstract_text"),
-        F.concat(pad, normalize_title(F.concat_ws(" ", both, F.array_join(non_blank("keywords"), " "))), pad).alias("all_text"),
-    )
-
-
 def search(queries: DataFrame, papers: DataFrame, year_from: int | None = None, keep_undated: bool = True) -> DataFrame:
     """All matches ``(query_id, seq, relevance, ...)`` of ``queries(query_id, query, mode, source)``.
 
@@ -137,47 +130,52 @@ def search(queries: DataFrame, papers: DataFrame, year_from: int | None = None,
     if year_from:
         old = F.col("year") < year_from
         papers = papers.filter(~F.coalesce(old, F.lit(False)) if keep_undated else F.col("year") >= year_from)
-    texts = _fields(papers)
-    prepared = queries.withColumns({"groups": query_groups("query"), "words": F.array_distinct(words("query"))})
-    alternatives = (
-        prepared.select("query_id", F.posexplode("groups").alias("g", "alts"))
-        .select("query_id", "g", F.posexplode("alts").alias("a", "phrase"))
-        .select("query_id", "g", "a", F.explode(F.split("phrase", " ")).alias("word"))
-    )
-    held = texts.select("seq", F.explode(F.array_distinct(F.split(F.trim("all_text"), " "))).alias("word"))
-    wanted = alternatives.select("word").distinct()
-    frequency = held.join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    asked = queries.withColumns({
+        "groups": F.transform(query_groups("query"), lambda g: F.transform(g, phrase)),
+        "words": F.transform(F.array_distinct(words("query")), phrase),
+    }).filter(F.size("groups") > 0)
+    prepared = cut_lineage(asked.repartition("query_id"))
+    phrases = prepared.select("query_id", F.explode(F.concat(F.flatten("groups"), "words")).alias("p"))
+    tokens = phrases.select("query_id", (F.size("p.tokens") > 1).alias("spots_needed"), F.explode("p.tokens.token").alias("token"))
+    index = postings(papers, tokens.groupBy("token").agg(F.max("spots_needed").alias("spots_needed")))
+    frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rarest = (
-        alternatives.join(frequency, "word", "left")
+        prepared.select("query_id", F.posexplode("groups").alias("g", "alternatives"))
+        .select("query_id", "g", F.posexplode("alternatives").alias("a", "p"))
+        .select("query_id", "g", "a", F.explode("p.tokens.token").alias("token"))
+        .join(frequency, "token", "left")
         .groupBy("query_id", "g", "a")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("rare"))
+        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("rare"))
         .groupBy("query_id", "g")
-        .agg(F.sum("rare.df").alias("cost"), F.collect_set("rare.word").alias("probe"))
+        .agg(F.sum("rare.df").alias("cost"), F.collect_set("rare").alias("probe"))
         .groupBy("query_id")
         .agg(F.min(F.struct("cost", "g", "probe")).alias("best"))
-        .select("query_id", F.explode("best.probe").alias("word"))
+        .select("query_id", F.inline("best.probe"))
     )
-    candidates = held.join(rarest, "word").select("query_id", "seq").distinct()
-    met = candidates.join(prepared, "query_id").join(texts, "seq")
-
-    text = (
-        F.when(F.col("mode") == "title", F.col("title_text"))
-        .when(F.col("mode") == "title_abstract", F.col("abstract_text"))
-        .otherwise(F.col("all_text"))
+    needed = tokens.groupBy("query_id").agg(F.collect_set("token").alias("needed"))
+    rare = rarest.filter("df > 0").join(prepared.select("query_id", "source"), "query_id").join(needed, "query_id")
+    met = probe(rare, index).filter(F.col("source").isNull() | (F.col("source") == F.col("source_database")))
+    candidates = met.dropDuplicates(["query_id", "seq"]).select("query_id", "seq", F.explode("needed").alias("token"))
+    entry = F.struct("token", F.struct("first", "spots"))
+    looked_up = candidates.join(index.drop("source_database"), ["seq", "token"])
+    looked_up = looked_up.groupBy("query_id", "seq", "year", "title_words", "both_words").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("found")
     )
+    seen = looked_up.join(prepared, "query_id")
+    limit = (
+        F.when(F.col("mode") == "title", F.col("title_words"))
+        .when(F.col("mode") == "title_abstract", F.col("both_words"))
+        .otherwise(F.lit(1 << 30))
+    )
+    found = F.col("found")
+    matched = F.forall("groups", lambda g: F.exists(g, lambda p: F.coalesce(last_word(p, found) < limit, F.lit(False))))
 
-    def holds(place: Column, phrase: Column) -> Column:
-        return F.contains(place, F.concat(F.lit(" "), phrase, F.lit(" ")))
-
-    matched = F.forall("groups", lambda g: F.exists(g, lambda p: holds(text, p)))
-    own_source = F.col("source").isNull() | (F.col("source") == F.col("source_database"))
-
-    def share(place: str) -> Column:
-        hits = F.size(F.filter("words", lambda w: holds(F.col(place), w)))
+    def share(most: str) -> Column:
+        hits = F.size(F.filter("words", lambda p: F.coalesce(last_word(p, found) < F.col(most), F.lit(False))))
         return 100.0 * hits / F.greatest(F.lit(1), F.size("words"))
 
-    relevance = 0.30 * share("title_text") + 0.25 * share("abstract_text")
-    return met.filter(own_source & matched).select(*queries.columns, "seq", "year", relevance.alias("relevance"))
+    relevance = 0.30 * share("title_words") + 0.25 * share("both_words")
+    return seen.filter(matched).select(*queries.columns, "seq", "year", relevance.alias("relevance"))
 
 
 def top_hits(hits: DataFrame, limit: str | int = "hits", newest: str | None = None, largest: int | None = None) -> DataFrame:

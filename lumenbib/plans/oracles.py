@@ -14,6 +14,7 @@ from lumenbib.operators.rubric import RELEVANCE_TEMPLATE, RUBRIC_TEMPLATE
 from lumenbib.functions.text import ARXIV_ID, ARXIV_URL
 from lumenbib.functions.urls import ENTITIES, LINK_ATTRIBUTES, LINK_TAG, LISTING_MARKERS, PAGE_PATTERNS
 from lumenbib.plans.queries import PHRASES, TERMS, TOPIC, YEAR
+from lumenbib.plans.views import HAN_LETTERS
 
 ORACLES: dict[str, str] = {}
 WS = r"[ \t\n\r\x0b\x0c]"
@@ -620,6 +621,40 @@ m AS (SELECT query_id, seq, round(0.30e0 * (100e0 * len(list_filter(ws, lambda w
   FROM qs, pad WHERE len(ws) > 0 AND len(list_filter(ws, lambda w: contains(CASE query_id % 3 WHEN 0 THEN t3 WHEN 1 THEN t2 ELSE t1 END, ' ' || w || ' '))) = len(ws)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, seq) AS hit_rank FROM m) SELECT * FROM r WHERE hit_rank <= 20"""
 
+# Chinese dress: letters as Han characters without blanks; a Han word matches anywhere inside a run.
+HAN = f"translate(regexp_replace(lower({{}}), '[ à-ÿ]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{HAN_LETTERS}')"
+HAN_TEXT = f"""han AS (SELECT seq, {norm('h1')} AS t1, {norm("concat_ws(' ', h1, h2)")} AS t2
+  FROM (SELECT seq, {HAN.format("coalesce(title, '')")} AS h1, {HAN.format("coalesce(abstract, '')")} AS h2 FROM papers))"""
+WORDS_OF = "list_distinct(list_filter(string_split({}, ' '), lambda w: w <> ''))"
+
+
+def best_hits(texts: str, queries: str, text: str, matched: str, holds: str) -> str:
+    """Twenty best papers of queries (query_id, ws) whose ``text`` is ``matched``; relevance by the words in t1 and t2."""
+    share = "100e0 * len(list_filter(ws, lambda w: " + holds + ")) / len(ws)"
+    return f"""{P}, {TOPICS}, {texts}, qs AS ({queries}), m AS (
+  SELECT query_id, seq, round(0.30e0 * ({share.format('t1')}) + 0.25e0 * ({share.format('t2')}), 4) AS relevance
+  FROM (SELECT *, {text} AS t FROM qs, {texts.split(' ')[0]}) WHERE len(ws) > 0 AND {matched}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, seq) AS hit_rank FROM m)
+SELECT * FROM r WHERE hit_rank <= 20"""
+
+
+ORACLES["retrieve_cjk"] = best_hits(
+    HAN_TEXT,
+    f"SELECT topic_id AS query_id, {WORDS_OF.format(norm(HAN.format("array_to_string(string_split(topic, ' ')[1:2], ' ')")))} AS ws FROM tp",
+    "CASE query_id % 3 WHEN 2 THEN t1 ELSE t2 END",
+    "len(list_filter(ws, lambda w: contains(t, w))) = len(ws)",
+    "contains({}, w)",
+)
+ORACLES["retrieve_phrase"] = best_hits(
+    PADDED,
+    f"SELECT topic_id AS query_id, {norm("array_to_string(string_split(topic, ' ')[1:2], ' ')")} AS phrase, "
+    f"{norm("coalesce(string_split(topic, ' ')[3], '')")} AS word, "
+    f"{WORDS_OF.format(norm("array_to_string(string_split(topic, ' ')[1:3], ' ')"))} AS ws FROM tp",
+    "CASE query_id % 3 WHEN 0 THEN t3 WHEN 1 THEN t2 ELSE t1 END",
+    "contains(t, ' ' || phrase || ' ') AND (word = '' OR contains(t, ' ' || word || ' '))",
+    "contains({}, ' ' || w || ' ')",
+)
+
 assert DEFAULTS["weights"]["relevance"] == 0.40
 
 # ---------------------------------------------------------------- wide outputs

@@ -416,10 +416,31 @@ def topic_queries(spark, sf):
 
 @query
 def retrieve_topk(spark, sf):
-    hits = retrieve.top_hits(retrieve.search(topic_queries(spark, sf), papers(spark, sf)), 20)
+    return best_hits(topic_queries(spark, sf), papers(spark, sf))
+
+
+def best_hits(queries, table):
+    hits = retrieve.top_hits(retrieve.search(queries, table), 20)
     return hits.select("query_id", "seq", F.round("relevance", 4).alias("relevance"), F.col("hit_rank").cast("long").alias("hit_rank"))
 
 
+@query
+def retrieve_cjk(spark, sf):
+    """The first two words of each topic, in Chinese dress one term, wherever it stands inside a sentence."""
+    asked = topic_queries(spark, sf)
+    return best_hits(asked.withColumn("query", v.chinese(F.col("query"))), v.chinese_papers_view(spark, sf))
+
+
+@query
+def retrieve_phrase(spark, sf):
+    """The first two words of each topic as a phrase, and its third word."""
+    asked = topic_queries(spark, sf).drop("query")
+    words = F.split("topic", " ")
+    quoted = F.concat(F.lit('"'), F.array_join(F.slice(words, 1, 2), " "), F.lit('" '), F.get(words, F.lit(2)))
+    topics = v.topics_view(spark, sf).select(F.col("topic_id").alias("query_id"), quoted.alias("query"))
+    return best_hits(asked.join(topics, "query_id"), papers(spark, sf))
+
+
 @query
 def source_quota(spark, sf):
     p = papers(spark, sf).select("seq", F.col("source_database").alias("source"))

@@ -68,6 +68,23 @@ def papers_view(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The letters a to z as Han characters, for records in Chinese dress.
+HAN_LETTERS = "碳中和能源政策研究技术经济排放市场环境气候影响评估城"
+
+
+def chinese(c: Column | str) -> Column:
+    """A text whose letters a to z are Han characters, without accented letters and blanks."""
+    letters = "".join(map(chr, range(ord("a"), ord("z") + 1)))
+    return F.translate(F.regexp_replace(F.lower(c), "[ à-ÿ]", ""), letters, HAN_LETTERS)
+
+
+def chinese_papers_view(spark: SparkSession, folder: str) -> DataFrame:
+    """The papers in Chinese dress: sentences are runs of characters."""
+    return papers_view(spark, folder).withColumns(
+        {"title": chinese("title"), "abstract": chinese("abstract"), "keywords": F.array().cast("array<string>")}
+    )
+
+
 def topics_view(spark: SparkSession, folder: str) -> DataFrame:
     """One research topic per benchmark item: its first four words."""
     head = F.slice(F.split(F.btrim(F.col("text"), F.lit(" \t\n\r")), r"[ \t\n\r]+"), 1, 4)
