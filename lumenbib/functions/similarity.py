@@ -1,7 +1,8 @@
 """String similarity as Arrow UDFs, applied only to pairs that an equi-join has already filtered.
 
 ``token_set_ratio`` and ``indel_ratio`` follow the public definitions of the set ratio and of the
-normalised insert/delete distance; ``matching_blocks_ratio`` is the standard library's.
+normalised insert/delete distance; the ratio of matching blocks is the standard library's, asked for the few pairs
+whose longest common subsequence can reach it.
 """
 
 from __future__ import annotations
@@ -136,9 +137,19 @@ def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(indel_ratio_values(left.fillna("").tolist(), right.fillna("").tolist()))
 
 
-@F.pandas_udf(T.DoubleType())
-def matching_blocks_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype="float64")
+def bounded_indel_ratio(left: list[str], right: list[str], threshold: float) -> np.ndarray:
+    """Insert/delete ratio, 0 to 1."""
+    return indel_ratio_values(left, right) / 100.0
+
+
+def bounded_block_ratio(left: list[str], right: list[str], threshold: float) -> np.ndarray:
+    """Ratio of matching blocks, 0 to 1, where it can reach ``threshold``: blocks are a common subsequence, whose
+    longest length bounds them."""
+    bound = indel_ratio_values(left, right) / 100.0
+    out = np.zeros(len(left))
+    for i in np.flatnonzero(bound >= threshold - 1e-9).tolist():
+        out[i] = SequenceMatcher(None, left[i], right[i]).ratio()
+    return out
 
 
 @F.pandas_udf(T.DoubleType())

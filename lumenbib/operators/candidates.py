@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenbib.functions.similarity import matching_blocks_ratio
+from lumenbib.functions.similarity import bounded_block_ratio
 from lumenbib.functions.text import arxiv_id, missing_if_blank, normalize_doi, normalize_title, source_bucket, strip
 from lumenbib.functions.urls import distinct_links, is_plausible_pdf_url, raw_page_links, url_policy
 from lumenbib.operators.enrich import spread_null
 from lumenbib.operators.select import best_first, head
+from lumenbib.operators.title_pairs import similar_titles
 
 # Priority of link sources; 0.55 for all others.
 SOURCE_PRIORITY = {
@@ -273,47 +274,20 @@ def backfill(papers: DataFrame, payloads: DataFrame) -> DataFrame:
     ).drop("known_doi", "new_landing_page_url", "new_pdf_url")
 
 
-def ranked_titles(titles: DataFrame, works: DataFrame, hits: int = 5, rare_words: int = 8, least_ratio: float = 0.0) -> DataFrame:
-    """Best works ``(query_id, seq, hit_rank)`` of each title: any of its rarest words, the equal title first, then more
-    and rarer shared words, then the nearest length.
+def resolve_titles(papers: DataFrame, works: DataFrame, threshold: float = 0.76) -> DataFrame:
+    """DOI of papers that lack one, by title: the most similar work, the first one on ties.
 
-    ``titles`` has ``query_id``, a normalised title. Words are counted in the works' titles; a word that no work holds
-    finds nothing and is no loss. Works whose length alone keeps the ratio under ``least_ratio`` take no place.
-    """
-    title = normalize_title("title")
-    known = works.select("seq", title.alias("title"), F.length(title).alias("size"), F.xxhash64(title).alias("same"))
-    held = known.select("seq", "size", "same", F.explode(F.array_distinct(F.split("title", " "))).alias("word")).filter("word <> ''")
-    asked = titles.select("query_id", F.explode(F.array_distinct(F.split("query_id", " "))).alias("word"))
-    frequency = held.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("query_id").orderBy("df", "word")
-    probes = asked.join(frequency, "word").withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= rare_words)
-    size = F.length("query_id")
-    can_reach = 2 * F.least("size", size) >= least_ratio * (F.col("size") + size) - 1e-6  # a matcher counts at most the shorter one
-    met = held.join(probes, "word").filter(can_reach).groupBy("query_id", "seq", "size", "same").agg(F.sum(1 / F.log1p("df")).alias("weight"))
-    apart = F.when(F.col("same") == F.xxhash64("query_id"), -1).otherwise(0)
-    best = Window.partitionBy("query_id").orderBy(apart, F.round("weight", 9).desc(), F.abs(F.col("size") - size), "seq")
-    return met.withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= hits).select("query_id", "seq", "hit_rank")
-
-
-def resolve_titles(papers: DataFrame, works: DataFrame, hits: int = 5, threshold: float = 0.76) -> DataFrame:
-    """DOI of papers that lack one, by title: best of the first hits by similarity, the first one on ties.
-
-    ``works`` is a paper table with DOIs. Titles shorter than ten characters are left out.
+    ``works`` is a paper table with DOIs. Titles shorter than ten characters are left out. Every title is held against
+    every work whose characters can reach the threshold.
     """
     bare = papers.filter(normalize_doi("doi").isNull()).select("seq", strip("title").alias("title"))
-    titled = bare.filter(F.length("title") >= 10).withColumn("query_id", normalize_title("title"))
-    found = ranked_titles(titled.select("query_id").filter("query_id <> ''").distinct(), works, hits, least_ratio=threshold)
-    known = works.select(F.col("seq"), normalize_title("title").alias("hit_title"), normalize_doi("doi").alias("found_doi"))
-    scored = (
-        found.join(known, "seq")
-        .filter("hit_title <> ''")
-        .withColumn("ratio", matching_blocks_ratio("query_id", "hit_title"))
-    )
-    best = scored.groupBy("query_id").agg(
-        F.min_by(F.struct("found_doi", "ratio"), F.struct(-F.col("ratio"), F.col("hit_rank"))).alias("best")
-    )
-    passed = best.filter((F.col("best.ratio") >= threshold) & F.col("best.found_doi").isNotNull())
-    return titled.join(passed, "query_id").select("seq", "best.found_doi", "best.ratio")
+    titled = bare.filter(F.length("title") >= 10).select("seq", normalize_title("title").alias("title")).filter("title <> ''")
+    known = works.select("seq", normalize_title("title").alias("right_title"), normalize_doi("doi").alias("found_doi"))
+    first = known.filter("right_title <> ''").groupBy("right_title").agg(F.min(F.struct("seq", "found_doi")).alias("work"))
+    ranked = first.select(F.col("right_title").alias("title"), F.col("work.seq").alias("rank"))
+    best = similar_titles(titled.select("title").distinct(), ranked, threshold, bounded_block_ratio, best=True)
+    found = best.join(first, "right_title").select(F.col("left_title").alias("title"), "work.found_doi", "ratio")
+    return titled.join(found.filter("found_doi is not null"), "title").select("seq", "found_doi", "ratio")
 
 
 def with_found_doi(papers: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenbib.functions.similarity import indel_ratio
+from lumenbib.functions.similarity import bounded_indel_ratio
 from lumenbib.functions.text import missing_if_blank, normalize_doi, normalize_title, strip
-from lumenbib.session import spread
+from lumenbib.operators import title_pairs
 
 # Scores of the labels.
 LABEL_SCORES = {
@@ -22,8 +20,6 @@ LABEL_SCORES = {
     "unsure": 50.0,
 }
 
-PIECE, SHORT = 4, 12
-
 
 def feedback_label(label: Column | str = "human_label") -> Column:
     return missing_if_blank(F.lower(strip(label)))
@@ -62,53 +58,10 @@ def match_by_doi(papers: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 92.0) -> DataFrame:
-    """Pairs ``(title, feedback_title, ratio)`` of distinct titles with an indel ratio over the threshold.
-
-    A pair allows ``d`` edits, at most ``2e/(1-e)`` of either title's length (``e`` is one less the threshold). An edit
-    breaks at most one of the pieces that ``left``'s title is cut into, and moves the others by at most ``d``: of ``p``
-    pieces, ``p - d`` or more stand in the other title near their place. Pieces have four characters (fewer in very short
-    titles, so that one must survive). Complete, and both sides emit rows in proportion to a title's length; the join key
-    also holds a band of lengths.
-    """
-    slack = 1 - threshold / 100.0
-    stretch = (1 + slack) / (1 - slack)
-
-    def edits(size: Column) -> Column:
-        return F.floor(size * (2 * slack / (1 - slack)) + 1e-9).cast("int")
-
-    def band(size: Column) -> Column:
-        return F.floor(F.log(size) / math.log(stretch) + 1e-9).cast("int")
-
-    size = F.length("title")
-    width = F.coalesce(*[F.when(F.floor(size / m) > edits(size), m) for m in range(PIECE, 0, -1)], F.lit(1))
-    starts = F.transform(F.sequence(F.lit(0), F.floor(size / width).cast("int") - 1), lambda i: i * width)
-    pieces = left.select(
-        "title", edits(size).alias("edits"), band(size).alias("band"), F.size(starts).alias("pieces"),
-        F.inline(F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col("title"), i + 1, width).alias("piece")))),
-    )
-    size = F.length("feedback_title")
-
-    def windows(m: int) -> Column:
-        places = F.sequence(F.lit(0), size - m)
-        cut = F.transform(places, lambda i: F.struct(i.alias("place"), F.substring(F.col("feedback_title"), i + 1, F.lit(m)).alias("piece")))
-        # Narrower pieces are only cut from titles that are about as short as the widths that need them.
-        fits = (size >= m) & (size <= (SHORT if m < PIECE else 1 << 30))
-        return F.when(fits, cut).otherwise(F.array().cast("array<struct<place:int,piece:string>>"))
-
-    places = right.select(
-        "feedback_title", band(size).alias("own"), F.inline(F.concat(*[windows(m) for m in range(1, PIECE + 1)]))
-    ).select("feedback_title", "place", "piece", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("band"))
-    met = spread(pieces, "piece", "band").join(spread(places, "piece", "band"), ["piece", "band"])
-    met = met.filter(F.abs(F.col("at") - F.col("place")) <= F.col("edits"))
-    pairs = met.groupBy("title", "feedback_title").agg(
-        F.size(F.collect_set("at")).alias("common"),
-        F.max(F.col("pieces") - F.col("edits")).alias("need"),
-    )
-    total = F.length("title") + F.length("feedback_title")
-    near = F.abs(F.length("title") - F.length("feedback_title")) <= slack * total + 1e-9
-    kept = pairs.filter((F.col("common") >= F.col("need")) & near)
-    scored = kept.select("title", "feedback_title").withColumn("ratio", indel_ratio("title", "feedback_title"))
-    return scored.filter(F.col("ratio") >= threshold)
+    """Pairs ``(title, feedback_title, ratio)`` of distinct titles with an indel ratio over the threshold."""
+    known = right.select(F.col("feedback_title").alias("title"), F.lit(0).alias("rank"))
+    pairs = title_pairs.similar_titles(left.select("title"), known, threshold / 100.0, bounded_indel_ratio)
+    return pairs.select(F.col("left_title").alias("title"), F.col("right_title").alias("feedback_title"), (F.col("ratio") * 100.0).alias("ratio"))
 
 
 def match_by_title(papers: DataFrame, feedback: DataFrame, threshold: float = 92.0) -> DataFrame:
@@ -118,9 +71,11 @@ def match_by_title(papers: DataFrame, feedback: DataFrame, threshold: float = 92
         F.min_by(F.struct("feedback_pos", "human_label", "human_feedback_score"), "feedback_pos").alias("answer")
     )
     keyed = papers.select("seq", missing_if_blank(normalize_title("title")).alias("title")).filter("title is not null")
-    pairs = similar_titles(keyed.select("title").distinct(), first.select("feedback_title"), threshold)
-    order = F.struct(-F.col("ratio"), F.col("answer.feedback_pos"))
-    best = pairs.join(first, "feedback_title").groupBy("title").agg(F.min_by("answer", order).alias("answer"))
+    known = first.select(F.col("feedback_title").alias("title"), F.col("answer.feedback_pos").alias("rank"))
+    asked = keyed.select("title").distinct()
+    pairs = title_pairs.similar_titles(asked, known, threshold / 100.0, bounded_indel_ratio, best=True)
+    pairs = pairs.withColumnsRenamed({"left_title": "title", "right_title": "feedback_title"})
+    best = pairs.join(first, "feedback_title").select("title", "answer")
     return keyed.join(best, "title").select("seq", "answer.human_label", "answer.human_feedback_score")
 
 
