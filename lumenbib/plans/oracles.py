@@ -157,11 +157,16 @@ ORACLES["normalize_keys"] = f"""{P} SELECT seq, {doi('doi')} AS doi_norm, {norm(
   concat_ws(', ', nullif(journal, ''), nullif(pdf_url, '')) AS place FROM papers"""
 
 TOKEN = "[a-z0-9][a-z0-9\\-\\+_\\.]*"
-ORACLES["topic_tokens"] = f"""{P} SELECT seq,
+# Ordered distinct words by the first place of each word, linear in the text.
+ORACLES["topic_tokens"] = f"""{P}, n AS (SELECT seq, string_split({norm('abstract')}, ' ') AS ws FROM papers),
+u AS (SELECT seq, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM n),
+f AS (SELECT seq, w, min(i) AS i FROM u WHERE w <> '' GROUP BY seq, w),
+d AS (SELECT seq, count(*) AS vocabulary, md5(string_agg(w, ' ' ORDER BY i)) AS words_md5 FROM f GROUP BY seq)
+SELECT papers.seq,
   array_to_string(list_filter(regexp_extract_all(lower(title), '{TOKEN}'), lambda t: length(t) > 2), '|') AS tokens,
   len(list_filter(regexp_extract_all(lower(abstract), '{TOKEN}'), lambda t: length(t) > 2))::BIGINT AS abstract_tokens,
-  len(list_distinct(list_filter(string_split({norm('abstract')}, ' '), lambda w: w <> '')))::BIGINT AS vocabulary,
-  md5(array_to_string({dedupe(f"string_split({norm('abstract')}, ' ')")}, ' ')) AS words_md5 FROM papers"""
+  coalesce(vocabulary, 0)::BIGINT AS vocabulary, coalesce(words_md5, md5('')) AS words_md5
+FROM papers LEFT JOIN d USING (seq)"""
 
 SENTENCES = f"""list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(abstract, ''), '\\.{WS}+', '.' || chr(1), 'g'),
   '[。！？!?;\\n\\x01]'), lambda s: {squeeze('s')}), lambda s: s <> '')"""

@@ -134,3 +134,15 @@ def test_rubric_candidates(spark):
 def test_typed_nulls_and_scores_with_lists(spark):
     rows = spark.createDataFrame([(1.0,)], "rule_score double")
     assert "embedding_score" in typed_nulls(rows).columns
+
+
+def test_scoring_config_overrides_one_level():
+    from lumenbib.config import DEFAULTS, scoring_config
+
+    assert scoring_config() == scoring_config({}) == DEFAULTS
+    own = scoring_config({"weights": {"relevance": 0.5}, "extra": [1]})
+    assert own["weights"] == {**DEFAULTS["weights"], "relevance": 0.5} and own["extra"] == [1]
+    own["weights"]["relevance"] = 9
+    assert DEFAULTS["weights"]["relevance"] == 0.40
+    with pytest.raises(TypeError, match="weights"):
+        scoring_config({"weights": 3})
