@@ -2,9 +2,11 @@
 
 A text is cut into paragraphs (lines), these into phrases; consecutive paragraphs form sections, which end at a blank
 line or at a paragraph whose own digest says so, so that an edit moves no later section edge. A node's digest covers
-its children in order and the root is the fingerprint: equal texts have equal roots, and where two roots differ, only
-branches with differing digests need a look to find the edits. Likeness is the share of characters in phrases that two
-trees have in common (as multisets), from 0 to 1.
+its children in order and the root is the fingerprint: equal texts have equal roots, and where two roots differ, both
+trees are descended side by side. Children of equal digest are aligned in order (the i-th of a digest with the i-th of
+it on the other side, the longest increasing run of such pairs), never entered, and part the others into gaps; a gap
+without such a pair goes on with the children's children. What is not aligned down to the phrases is an edit, so moved
+and repeated branches are. Likeness is the share of characters in aligned branches, from 0 to 1.
 
 Null texts count as empty; two empty texts are alike (1), an empty and another are not (0). Order is by descending id,
 null ids last, ties by the hash of the text and then the text; repeated rows each get a row. A table of one row is its
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenbib.llm.common import free_name
 from lumenbib.session import shuffle_width
 
 PHRASES = re.compile(r"[^.,;:!?]{1,80}[.,;:!?]*\s*|[.,;:!?]+\s*").findall
@@ -38,19 +42,12 @@ class Node(NamedTuple):
     children: tuple
 
 
-class Tree(NamedTuple):
-    """``root`` node over sections over paragraphs, and the characters of each phrase digest."""
-
-    root: Node
-    phrases: Counter
-
-
 def _digest(parts: list[bytes], kind: bytes) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=16, person=kind).digest()
 
 
-def tree(text: str) -> Tree:
-    phrases: Counter = Counter()
+def tree(text: str) -> Node:
+    """Root over sections over paragraphs over phrases."""
     sections: list[Node] = []
     held: list[Node] = []
     at = first = 0
@@ -60,61 +57,112 @@ def tree(text: str) -> Tree:
         held.clear()
 
     for line in text.splitlines(keepends=True):
-        leaves = []
+        leaves, start = [], at
         for p in PHRASES(line):
-            d = hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            phrases[d] += len(p)
-            leaves.append(d)
-        own = _digest(leaves, b"paragraph")
-        held.append(Node(own, at, len(line), ()))
-        at += len(line)
+            digest = hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            leaves.append(Node(digest, at, len(p), ()))
+            at += len(p)
+        own = _digest([x.digest for x in leaves], b"paragraph")
+        held.append(Node(own, start, at - start, tuple(leaves)))
         if own[0] % SECTION_PARAGRAPHS == 0 or not line.strip():
             close()
             first = at
     if held:
         close()
-    return Tree(Node(_digest([s.digest for s in sections], b"root"), 0, at, tuple(sections)), phrases)
+    return Node(_digest([x.digest for x in sections], b"root"), 0, at, tuple(sections))
+
+
+def _numbered(nodes: list[Node]) -> list[tuple[bytes, int]]:
+    seen: Counter = Counter()
+    out = []
+    for x in nodes:
+        out.append((x.digest, seen[x.digest]))
+        seen[x.digest] += 1
+    return out
+
+
+def _rising(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Longest run of pairs that rises in both; the first members rise already."""
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for i, (_, q) in enumerate(places):
+        k = bisect_left(ends, q)
+        before.append(at[k - 1] if k else -1)
+        ends[k:k + 1], at[k:k + 1] = [q], [i]
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(places[i])
+        i = before[i]
+    return out[::-1]
+
+
+def aligned(a: Node, b: Node) -> list[tuple[int, int, int]]:
+    """Equal branches in order: (start in ``a``, start in ``b``, length)."""
+    out, todo = [], [([a], [b])]
+    while todo:
+        left, right = todo.pop()
+        head = tail = 0
+        while head < min(len(left), len(right)) and left[head].digest == right[head].digest:
+            out.append((left[head].start, right[head].start, left[head].length))
+            head += 1
+        while tail < min(len(left), len(right)) - head and left[-1 - tail].digest == right[-1 - tail].digest:
+            out.append((left[-1 - tail].start, right[-1 - tail].start, left[-1 - tail].length))
+            tail += 1
+        left, right = left[head : len(left) - tail], right[head : len(right) - tail]
+        if not left or not right:
+            continue
+        where = {key: q for q, key in enumerate(_numbered(right))}
+        pairs = _rising([(p, where[key]) for p, key in enumerate(_numbered(left)) if key in where])
+        if pairs:
+            last_p = last_q = 0
+            for p, q in [*pairs, (len(left), len(right))]:
+                todo.append((left[last_p:p], right[last_q:q]))
+                if p < len(left):
+                    out.append((left[p].start, right[q].start, left[p].length))
+                last_p, last_q = p + 1, q + 1
+        elif left[0].children and right[0].children:
+            todo.append(([c for x in left for c in x.children], [c for x in right for c in x.children]))
+    return sorted(out)
+
+
+def likeness(a: Node, b: Node) -> float:
+    """Twice the characters of aligned branches over all characters; 1 for two empty texts."""
+    if a.digest == b.digest:
+        return 1.0
+    return 2 * sum(n for _, _, n in aligned(a, b)) / (a.length + b.length)
 
 
-def likeness(a: Tree, b: Tree) -> float:
-    """Twice the characters in common phrases over all characters; 1 for two empty texts."""
-    if a.root.digest == b.root.digest:
-        return 1.0
-    small, large = (a.phrases, b.phrases) if len(a.phrases) <= len(b.phrases) else (b.phrases, a.phrases)
-    common = sum(min(n, large[d]) for d, n in small.items() if d in large)
-    return 2 * common / (a.root.length + b.root.length)
-
-
-def edited_spans(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Spans (start, length) of ``a``'s paragraphs that ``b`` lacks; branches of equal digest are not entered."""
-    if a.root.digest == b.root.digest:
-        return []
-    sections = {s.digest for s in b.root.children}
-    paragraphs = {p.digest for s in b.root.children for p in s.children}
-    return [
-        (p.start, p.length)
-        for s in a.root.children
-        if s.digest not in sections
-        for p in s.children
-        if p.digest not in paragraphs
-    ]
+def edited_spans(a: Node, b: Node) -> list[tuple[int, int]]:
+    """Spans (start, length) of ``a`` that are in no branch aligned with ``b``."""
+    out, at = [], 0
+    for start, _, n in [*aligned(a, b), (a.length, b.length, 0)]:
+        if start > at:
+            out.append((at, start - at))
+        at = start + n
+    return out
 
 
 # ---------------------------------------------------------------- Spark
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``fingerprint`` (the root) and ``sections`` (their digests and places)."""
+    """``docs`` with ``fingerprint`` (the root) and ``sections`` (their digests and places).
+
+    Columns of these names are replaced.
+    """
     kind = "fingerprint string, sections array<struct<digest: string, start: long, length: long>>"
 
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            roots = [tree(t).root for t in batch.fillna("")]
+            roots = [tree(t) for t in batch.fillna("")]
             rows = [(r.digest.hex(), [(s.digest.hex(), s.start, s.length) for s in r.children]) for r in roots]
             yield pd.DataFrame(rows, columns=["fingerprint", "sections"])
 
-    return docs.withColumn("tree", run(F.col(text).cast("string"))).select(*docs.columns, "tree.*")
+    made = free_name(docs, "tree")
+    kept = [c for c in docs.columns if c.lower() not in ("fingerprint", "sections")]
+    return docs.withColumn(made, run(F.col(text).cast("string"))).select(*kept, f"{made}.*")
 
 
 def locate_edits(pairs: DataFrame, left: str, right: str, into: str = "edits") -> DataFrame:
@@ -168,10 +216,11 @@ def neighbour_runs(docs: DataFrame) -> DataFrame:
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Per document: size, digest of its edited text (the tail replaced by the next document's head), both
-    fingerprints, and the likeness of its own to the edited text's and to the next document's."""
+    fingerprints, the likeness of its own to the edited text's and to the next document's, and how many spans the trees
+    locate as edited, and where the first one starts."""
     runs = neighbour_runs(docs)
     id_kind = runs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_edits", "first_edit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (run, guest, doc_id, text, tree)
@@ -186,12 +235,14 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                     edited = last[3][: n - n // 2] + text[: n // 2]
                     changed = tree(edited)
                     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    roots = last[4].root.digest.hex(), changed.root.digest.hex()
-                    rows.append((last[2], n, sha, *roots, likeness(last[4], changed), likeness(last[4], now)))
+                    roots = last[4].digest.hex(), changed.digest.hex()
+                    edits = edited_spans(last[4], changed)
+                    near = likeness(last[4], changed), likeness(last[4], now)
+                    rows.append((last[2], n, sha, *roots, *near, len(edits), edits[0][0] if edits else None))
                 last = (own, guest, doc, text, now)
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *map(pa.array, cols[1:])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *map(pa.array, cols[1:8]), pa.array(cols[8], pa.int64())], names)
 
     kinds = f"doc_id {id_kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string"
-    return runs.mapInArrow(run, f"{kinds}, near_edited double, near_next double")
+    return runs.mapInArrow(run, f"{kinds}, near_edited double, near_next double, n_edits long, first_edit long")
