@@ -34,9 +34,10 @@ def spread_small(df: DataFrame, width: int | None = None) -> DataFrame:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, bound: int, features: Callable[[str], Column]
+    docs: DataFrame, labels: DataFrame, label: str, bound: int, features: Callable[[str], Column] | None = None
 ) -> DataFrame:
     """(doc_id, label, f) of at most ``bound`` labelled rows outside the held-out quarter; f are ``features`` of the text.
+    Without ``features`` it is (doc_id, text, label).
 
     The bound takes the smallest hashes of the ids, and of their rows (an id may repeat) the smallest hashes of id and
     features. Rows without a label, and ids with contradicting ones, teach nothing. The ids are broadcast: ``bound``
@@ -46,8 +47,9 @@ def labelled_sample(
     clear = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).filter("label = most")
     chosen = clear.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = spread_small(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("doc_id", "label", features("text").alias("f"))
-    return rows.orderBy(F.xxhash64("doc_id", "f"), "doc_id").limit(bound)
+    made = F.col("text").alias("text") if features is None else features("text").alias("f")
+    rows = rows.select("doc_id", made, "label")
+    return rows.orderBy(F.xxhash64(*rows.columns[:2]), "doc_id").limit(bound)
 
 
 def free_name(df: DataFrame, wish: str) -> str:
