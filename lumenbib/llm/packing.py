@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -32,8 +33,11 @@ from lumenbib.session import cut_lineage, shuffle_width
 CAPACITY = 4096
 END_ID = 1
 JOINED, KEPT = 4096, 300_000
+PART_CHARS = 1 << 17  # texts split at once: their words stay in the processor's cache
 MARKS = ".,;:!?"
-LAST_LATIN = "\xff"
+# A mark that ends a word behind a Latin-1 letter; others may turn into a letter and a combining mark, which a mark
+# behind it joins.
+END_MARK = re.compile(f"([{MARKS}])(?<=[A-Za-zªµºÀ-ÖØ-öø-ÿ].)(?=[ \\n]|\\Z)")
 
 
 def latin(text: str) -> bool:
@@ -48,8 +52,7 @@ def latin(text: str) -> bool:
 def word_ids(path: str) -> Memo:
     """Ids of blank-free words as little-endian bytes.
 
-    The tokenizer never joins across a blank or a line end, nor a Latin-1 letter with a mark behind it: words that
-    differ in that mark alone share their ids.
+    The tokenizer never joins across a blank or a line end.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -72,38 +75,33 @@ def word_ids(path: str) -> Memo:
     bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
     spelled = {c: bytewise.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
 
-    def stem_ids(words: list[str]) -> list[bytes]:
+    single = [packed("<I", i) for i in range(model.get_vocab_size())]
+
+    def ids(words: list[str]) -> list[bytes]:
         """A lower-case word of Latin-1 letters is one token group of the tokenizer; its model takes it byte by byte."""
         out, rest, merge = [], [], model.model.tokenize
         for w in words:
             if w.isascii():
-                own = merge(w) if w.isalpha() and w.islower() else None
+                w = w.lower()
+                own = merge(w) if w.isalpha() else None
             else:
                 own = merge(w.translate(spelled)) if w.isalpha() and w.islower() and latin(w) else None
             if own is None:
                 rest.append(w)
                 out.append(None)
             else:
-                out.append(packed(f"<{len(own)}I", *[t.id for t in own]))
+                out.append(b"".join([single[t.id] for t in own]))
         others = iter(compute(rest))
         return [next(others) if x is None else x for x in out]
 
-    stems, marks = Memo(stem_ids, KEPT), dict(zip(MARKS, compute(list(MARKS)), strict=True))
-
-    def with_marks(words: list[str]) -> list[bytes]:
-        words = [w.lower() if w.isascii() else w for w in words]
-        # Only behind Latin-1 letters: others may turn into a letter and a combining mark, which a mark behind it joins.
-        ends = [w[-1:] in marks and (c := w[-2:-1]).isalpha() and c <= LAST_LATIN for w in words]
-        found = stems([w[:-1] if e else w for w, e in zip(words, ends, strict=True)])
-        return [x + marks[w[-1]] if e else x for x, w, e in zip(found, words, ends, strict=True)]
-
-    return Memo(with_marks, KEPT)
+    return Memo(ids, KEPT)
 
 
 def text_ids(texts: list[str], known: Memo, end_id: int = END_ID) -> Iterator[bytes]:
     """Ids of each text and the end id, four bytes each."""
-    # The tokenizer lower-cases after composing characters; Latin-1 texts have nothing to compose.
-    parts = [(t.lower() if latin(t) else t).replace("\n", " ").split(" ") for t in texts]
+    # The tokenizer lower-cases after composing characters; Latin-1 texts have nothing to compose. It takes a word and
+    # the mark at its end apart: as words of their own both are met more often.
+    parts = [END_MARK.sub(r" \1", t.lower() if latin(t) else t).replace("\n", " ").split(" ") for t in texts]
     found, k, end = known([w for p in parts for w in p]), 0, np.array([end_id], "<u4").tobytes()
     for p in parts:
         yield b"".join(found[k : k + len(p)]) + end
@@ -131,7 +129,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         known = word_ids(path)
         for batch in batches:
             texts, rows = batch.fillna("").tolist(), []
-            for a, b in slices(texts):
+            for a, b in slices(texts, PART_CHARS):
                 for whole in text_ids(texts[a:b], known, end_id):
                     own = [whole[at : at + step] for at in range(0, len(whole), step)]
                     rows.append([(k, k * capacity, len(x) // 4, zlib.crc32(x)) for k, x in enumerate(own)])
