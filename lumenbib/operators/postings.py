@@ -1,7 +1,10 @@
 """Positional index over paper texts: ``(token, paper, places)``, words and Chinese characters alike.
 
-A blank-separated word without Han characters is one token. In a word with Han characters every one of them is a token,
-as is every two that stand side by side, and so are the runs of other characters between them. A place is the number
+A blank-separated word without Han characters is one token. In a word with Han characters every run of one to
+eight of them is a token, and so are the runs of other characters between them. A phrase asks for its Han runs of up to eight
+characters whole and for longer ones by eight, side by side and flush with the run's end, so that few places answer even
+where the text has few different characters. Wanted tokens are looked up inside the texts; no text is spelled out into
+all of its tokens unless more are wanted than a task can hold. A place is the number
 of the word in the text, the characters in front of the token in its word, and those from its start to the word's end.
 Phrases are settled by arithmetic on places: words must follow one another whole, a Han run may stand anywhere
 inside a longer one. Only tokens that some query asks for are kept, and texts do not travel.
@@ -9,18 +12,24 @@ inside a longer one. Only tokens that some query asks for are kept, and texts do
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenbib.functions.text import let, non_blank, normalize_title
 from lumenbib.session import cut_lineage
 
+SPOTS = "array<struct<w:int,c:int,e:int>>"
 SALT_ROWS = 100_000  # postings of a token that one task takes
 BROADCAST_TOKENS = 200_000  # some 20 MB
 
 
 # The ranges of Han characters.
 HAN_RANGES = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+HAN_SIZES = list(range(1, 9))  # characters of a token
 HAN = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in HAN_RANGES) + "]"
 
 
@@ -42,38 +51,86 @@ def _run_at(word: Column, i: Column) -> Column:
     return F.regexp_extract(F.substr(word, i + 1), "^[^" + HAN[1:-1] + "]+", 0)
 
 
-def word_tokens(word: Column) -> Column:
-    """All tokens of a word: ``array<struct<token, c, e>>``."""
+def word_tokens(word: Column, sizes: list[int]) -> Column:
+    """All tokens of a word, those of Han characters in ``sizes``: ``array<struct<token, c, e>>``."""
 
     def token(t: Column, i: Column, n: Column) -> Column:
         return F.struct(t.alias("token"), i.cast("int").alias("c"), (n - i).cast("int").alias("e"))
 
+    def grams(cs: Column, i: Column) -> Column:
+        own = [let(F.slice(cs, i + 1, g), lambda x: F.when((F.size(x) == g) & F.forall(x, _is_han), F.array_join(x, ""))) for g in sizes]  # noqa: B023
+        return F.transform(F.filter(F.array(*own), lambda t: t.isNotNull()), lambda t: token(t, i, F.size(cs)))
+
     def at(cs: Column, c: Column, i: Column) -> Column:
-        after, n = F.get(cs, i + 1), F.size(cs)
+        none = F.array().cast("array<struct<token:string,c:int,e:int>>")
         run_starts = (i == 0) | _is_han(F.get(cs, i - 1))
         return (
-            F.when(_is_han(c) & _is_han(after), F.array(token(c, i, n), token(F.concat(c, after), i, n)))
-            .when(_is_han(c), F.array(token(c, i, n)))
-            .when(run_starts, F.array(token(_run_at(word, i), i, n)))
-            .otherwise(F.array().cast("array<struct<token:string,c:int,e:int>>"))
+            F.when(_is_han(c), grams(cs, i) if sizes else none)
+            .when(run_starts, F.array(token(_run_at(word, i), i, F.size(cs))))
+            .otherwise(none)
         )
 
     split = let(_characters(word), lambda cs: F.flatten(F.transform(cs, lambda c, i: at(cs, c, i))))
     return F.when(_holds_han(word), split).otherwise(F.array(token(word, F.lit(0), F.length(word))))
 
 
-def han_tokens(words: DataFrame, columns: list[str]) -> DataFrame:
-    """``word_tokens`` of words of Han characters alone: pairs from even places, pairs from odd places, characters."""
-    word, size = F.col("word"), F.length("word")
-    pairs = [F.regexp_extract_all(F.substr(word, F.lit(k)), F.lit("(?s).."), F.lit(0)) for k in (1, 2)]
-    rows = words.select(*columns, size.alias("size"), F.posexplode(F.concat(*pairs, _characters(word))).alias("k", "token"))
-    even, odd = F.floor(F.col("size") / 2), F.floor((F.col("size") - 1) / 2)
-    k = F.col("k")
-    c = F.when(k < even, 2 * k).when(k < even + odd, 2 * (k - even) + 1).otherwise(k - even - odd).cast("int")
-    rows = rows.select(*columns, "token", "size", c.alias("c"))
+def han_tokens(words: DataFrame, columns: list[str], sizes: list[int]) -> DataFrame:
+    """``word_tokens`` of words of Han characters alone: a size's tokens in as many turns, each beginning one further."""
+    turns = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(k).alias("k")) for g in sizes for k in range(g)])
+    rows = words.select(*columns, "word", F.length("word").alias("size"), F.inline(turns)).filter("size >= g + k")
+    rest = F.substr("word", F.col("k") + 1)
+    cut = F.coalesce(*[F.when(F.col("g") == g, F.regexp_extract_all(rest, F.lit(f"(?s).{{{g}}}"), F.lit(0))) for g in sizes])
+    rows = rows.select(*columns, "size", "g", "k", F.posexplode(cut).alias("i", "token"))
+    rows = rows.select(*columns, "token", "size", (F.col("i") * F.col("g") + F.col("k")).cast("int").alias("c"))
     return rows.select(*columns, "token", "c", (F.col("size") - F.col("c")).alias("e"))
 
 
+RUNS = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in HAN_RANGES) + "]+")
+
+
+class Wanted:
+    """Tokens to look up in words with Han characters: longer ones of Han characters by their first two."""
+
+    def __init__(self, tokens: list[str]):
+        self.whole = set(tokens)
+        self.singles = {t for t in tokens if len(t) == 1}
+        self.longer: dict[str, list[str]] = {}
+        for t in tokens:
+            if len(t) > 1:
+                self.longer.setdefault(t[:2], []).append(t)
+
+    def places(self, word: str) -> Iterator[tuple[str, int, int]]:
+        """``(token, c, e)`` as in ``word_tokens``."""
+        end, size = 0, len(word)
+        for run in RUNS.finditer(word):
+            if end < run.start() and word[end : run.start()] in self.whole:
+                yield word[end : run.start()], end, size - end
+            own, start, end = run[0], run.start(), run.end()
+            if self.singles:
+                for i, c in enumerate(own):
+                    if c in self.singles:
+                        yield c, start + i, size - start - i
+            for i in range(len(own) - 1):
+                for t in self.longer.get(own[i : i + 2], ()):
+                    if own.startswith(t, i):
+                        yield t, start + i, size - start - i
+        if end < size and word[end:] in self.whole:
+            yield word[end:], end, size - end
+
+
+def looked_up(texts: DataFrame, columns: list[str], tokens: list[str]) -> DataFrame:
+    """Places of ``tokens`` in the normalised ``text``: ``(*columns, w, token, c, e)``."""
+    shared = texts.sparkSession.sparkContext.broadcast(tokens)
+
+    @F.pandas_udf("array<struct<w:int,token:string,c:int,e:int>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        wanted = Wanted(shared.value)
+        for batch in batches:
+            yield pd.Series([[(w, *at) for w, word in enumerate(t.split(" ")) for at in wanted.places(word)] for t in batch], dtype=object)
+
+    return texts.select(*columns, F.inline(find("text")))
+
+
 def phrase(text: Column) -> Column:
     """What a normalised phrase asks for: ``struct<n_words, tokens: array<struct<token, j, off, size>>>``."""
     kind = "array<struct<token:string,j:int,off:int,size:int>>"
@@ -83,11 +140,17 @@ def phrase(text: Column) -> Column:
             t.alias("token"), j.cast("int").alias("j"), i.cast("int").alias("off"), n.cast("int").alias("size")
         )
 
+    def covered(run: Column, i: Column, j: Column, n: Column) -> Column:
+        size = F.length(run)
+        g = F.coalesce(*[F.when(size >= k, k) for k in reversed(HAN_SIZES)])
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), size - g, g), F.array(size - g)))
+        return F.transform(starts, lambda k: token(F.substr(run, k + 1, g), j, i + k, n))
+
     def at(word: Column, cs: Column, c: Column, i: Column, j: Column) -> Column:
-        before, after, n = F.get(cs, i - 1), F.get(cs, i + 1), F.size(cs)
+        before, n = F.get(cs, i - 1), F.size(cs)
+        run = F.regexp_extract(F.substr(word, i + 1), f"^{HAN}+", 0)
         return (
-            F.when(_is_han(c) & _is_han(after), F.array(token(F.concat(c, after), j, i, n)))
-            .when(_is_han(c) & ~_is_han(before), F.array(token(c, j, i, n)))
+            F.when(_is_han(c) & ~_is_han(before), covered(run, i, j, n))
             .when(~_is_han(c) & ((i == 0) | _is_han(before)), F.array(token(_run_at(word, i), j, i, n)))
             .otherwise(F.array().cast(kind))
         )
@@ -108,7 +171,7 @@ def last_word(p: Column, found: Column) -> Column:
     many = p["n_words"] > 1
 
     def starts(t: Column) -> Column:
-        spots = F.coalesce(F.element_at(found, t["token"])["spots"], F.array().cast("array<struct<w:int,c:int,e:int>>"))
+        spots = F.coalesce(F.element_at(found, t["token"])["spots"], F.array().cast(SPOTS))
         kept = F.filter(
             spots,
             lambda s: ~many
@@ -117,7 +180,7 @@ def last_word(p: Column, found: Column) -> Column:
         inside = F.when(many, F.lit(0)).otherwise(1)
         return F.transform(kept, lambda s: (s["w"] - t["j"]).cast("long") * (1 << 24) + inside * (s["c"] - t["off"]))
 
-    one = F.element_at(found, p["tokens"][0]["token"])["first"]["w"]
+    one = F.element_at(found, p["tokens"][0]["token"])["first"]
     rest = F.slice(p["tokens"], 2, F.size(p["tokens"]))
     common = F.aggregate(rest, starts(p["tokens"][0]), lambda acc, t: F.array_intersect(acc, starts(t)))
     several = F.floor(F.array_min(common) / (1 << 24)).cast("int") + p["n_words"] - 1
@@ -145,28 +208,33 @@ def postings(papers: DataFrame, wanted: DataFrame) -> DataFrame:
         count(title).alias("title_words"),
         count(both).alias("both_words"),
         _holds_han(whole).alias("han"),  # behind the explode it would be asked again for every word
-        F.split(normalize_title(whole), " ").alias("words"),
+        normalize_title(whole).alias("text"),
     )
-
-    def exploded(rows: DataFrame) -> DataFrame:
-        return rows.select(*paper, F.posexplode("words").alias("w", "word"))
-
-    # A text without Han characters and a word of nothing else need no lists of structs; each word goes one of three ways.
-    bare = exploded(texts.filter(~F.col("han")))
-    plain = bare.select(*paper, "w", F.col("word").alias("token"), F.lit(0).alias("c"), F.length("word").alias("e"))
-    words = exploded(texts.filter("han"))
-    pure = F.col("word").rlike(f"^{HAN}+$")
-    mixed = words.filter(~pure).select(*paper, "w", F.inline(word_tokens(F.col("word"))))
-    held = plain.unionByName(mixed).unionByName(han_tokens(words.filter(pure), [*paper, "w"]))
     wanted = cut_lineage(wanted)
-    if wanted.count() <= BROADCAST_TOKENS:  # else both sides are dealt out by token
-        wanted = F.broadcast(wanted)
-    held = held.join(wanted, "token")
-    spot = F.struct("w", "c", "e")
-    places = held.groupBy("token", *paper).agg(
-        F.min(spot).alias("first"), F.collect_list(F.when(F.col("spots_needed"), spot)).alias("spots")
-    )
-    return cut_lineage(places)
+    few = wanted.count() <= BROADCAST_TOKENS  # else both sides are dealt out by token
+    bare = texts.filter(~F.col("han")).select(*paper, F.posexplode(F.split("text", " ")).alias("w", "token"))
+    plain = bare.select(*paper, "w", "token", F.lit(0).alias("c"), F.length("token").alias("e"))
+    held = plain.unionByName(_of_han_texts(texts.filter("han"), paper, wanted, few))
+    held = held.join(F.broadcast(wanted) if few else wanted, "token")
+    # Places are gathered for phrases alone: lists of many small groups are sorted, a least number is hashed.
+    found = held.groupBy("token", *paper)
+    least, spot = F.min("w").alias("first"), F.struct("w", "c", "e")
+    if wanted.filter("spots_needed").isEmpty():
+        return cut_lineage(found.agg(least).withColumn("spots", F.array().cast(SPOTS)))
+    return cut_lineage(found.agg(least, F.collect_list(F.when(F.col("spots_needed"), spot)).alias("spots")))
+
+
+def _of_han_texts(texts: DataFrame, paper: list[str], wanted: DataFrame, few: bool) -> DataFrame:
+    """Tokens of texts with Han characters, at least the wanted ones: ``(*paper, w, token, c, e)``."""
+    if few:
+        return looked_up(texts, paper, [r["token"] for r in wanted.select("token").collect()])
+    han_sizes = wanted.filter(F.col("token").rlike(f"^{HAN}+$")).select(F.length("token").alias("n")).distinct()
+    sizes = sorted(r["n"] for r in han_sizes.collect())  # some of HAN_SIZES
+    # A word of nothing else needs no lists of structs.
+    words = texts.select(*paper, F.posexplode(F.split("text", " ")).alias("w", "word"))
+    pure = F.col("word").rlike(f"^{HAN}+$")
+    mixed = words.filter(~pure).select(*paper, "w", F.inline(word_tokens(F.col("word"), sizes)))
+    return mixed.unionByName(han_tokens(words.filter(pure), [*paper, "w"], sizes)) if sizes else mixed
 
 
 def probe(rare: DataFrame, index: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Retrieval by places against plain string search."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenbib.operators import retrieve
 
@@ -70,3 +72,24 @@ def test_words_and_phrases_equal_string_search(spark, mode):
     got = found(spark, papers(spark, rows), asked, mode)
     assert got == [{i for i, r in enumerate(rows) if plain(q, r)} for q in asked]
     assert sum(map(len, got)) > 30
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_han_runs_equal_string_search_and_frequent_pairs_are_not_indexed(spark, monkeypatch, most):
+    from lumenbib.operators import postings
+
+    monkeypatch.setattr(postings, "BROADCAST_TOKENS", most)
+    draw = random.Random(5)
+    rows = [("".join(draw.choices("碳中和a1 ", k=draw.randint(0, 60))), "", []) for _ in range(60)]
+    asked = ["".join(draw.choices("碳中和", k=n)) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 17) for _ in range(2)]
+    asked += [rows[i][0].split()[0] for i in range(0, 60, 4) if rows[i][0].split()]
+    got = found(spark, papers(spark, rows), asked)
+    run = "(?<![{0}])(?:{1})(?![{0}])"
+    for query, ids in zip(asked, got, strict=True):
+        parts = re.findall("[碳中和]+|[a1]+", query)
+        edge = [p if p[0] in "碳中和" else run.format("a1", p) for p in parts]
+        assert ids == {i for i, (t, _, _) in enumerate(rows) if re.search("".join(edge), t)}, query
+    assert sum(map(len, got)) > 30
+    # Six characters are one token, not pairs that stand in most texts.
+    own = spark.range(1).select(postings.phrase(F.lit("碳中和碳中和")).alias("p")).first()["p"]
+    assert [t["token"] for t in own["tokens"]] == ["碳中和碳中和"]
