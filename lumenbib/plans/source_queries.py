@@ -243,7 +243,7 @@ def provider_links(spark, sf):
 @query
 def discovered_links(spark, sf):
     found = ca.discovered_links(papers(spark, sf), pl.all_payload_links(payload_tables(spark, sf)))
-    return ca.first_links(found).select("seq", "url", "source")
+    return found.select("seq", "url", "source")
 
 
 @query
@@ -253,7 +253,7 @@ def discovery_after_title(spark, sf):
     found = ca.resolve_titles(p, p.filter(tx.normalize_doi("doi").isNotNull()))
     reached = ca.with_found_doi(p, found).join(found.select("seq"), "seq", "left_semi")
     links = ca.discovered_links(reached, pl.all_payload_links(payload_tables(spark, sf)))
-    return ca.first_links(links).select("seq", "url", "source")
+    return links.select("seq", "url", "source")
 
 
 @query

@@ -137,3 +137,19 @@ def test_titles_with_a_changed_word_find_their_doi(spark):
     assert [(r["seq"], r["found_doi"]) for r in found.collect()] == [(10, "10.1/a")]
     filled = {r["seq"]: r["doi"] for r in ca.with_found_doi(papers, found).collect()}
     assert filled == {10: "10.1/a", 11: None, 12: None, 13: None}
+
+
+def test_links_of_a_hot_doi_are_distinct_before_they_meet_its_papers(spark, monkeypatch):
+    monkeypatch.setattr(ca, "DOI_LINKS", 7)
+    papers = spark.createDataFrame([(i, "https://doi.org/10.1/HOT" if i < 30 else f"10.1/{i}") for i in range(33)], "seq long, doi string")
+    rows = [("10.1/hot", p, i, f" https://x.org/{(i * 7) % 40}.pdf" if i % 2 else f"https://X.org/{i}.pdf", f"{p}.{i}", False) for p in ("doaj", "unpaywall") for i in range(40)]
+    rows += [("10.1/31", "core", 0, "https://x.org/a.pdf", "core.0", False), (None, "core", 0, "https://x.org/b.pdf", "core.0", False)]
+    links = spark.createDataFrame(rows, "doi string, provider string, pos int, url string, source string, from_landing boolean")
+    got = ca.discovered_links(papers, links).collect()
+    want = {}
+    for doi, p, i, url, source, _ in rows:
+        at = (ca.PROVIDERS.index(p) + 1) * 100000 + i
+        key = (doi, url.strip().lower())
+        want[key] = min(want.get(key, (at, source)), (at, source))
+    full = {(s, u, *want["10.1/hot", u]) for s in range(30) for d, u in want if d == "10.1/hot"} | {(31, "https://x.org/a.pdf", 800000, "core.0")}
+    assert {(r["seq"], r["url"].lower(), r["pos"], r["source"]) for r in got} == full and len(got) == len(full)
