@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lumenbib.functions import text as tx
 from lumenbib.functions import urls
 from lumenbib.operators.candidates import page_links
@@ -60,3 +62,15 @@ def test_page_links(spark):
     paths = ["/v2/77.pdf", "/up/x.pdf", "/get?n=77&type=printable&format=pdf", "/store/77-final.pdf"]
     assert found[0] == [f"https://lakes.example{p}" for p in paths]
     assert found[1] == []
+
+
+def test_ordered_distinct_of_a_long_list_needs_no_search_per_value(spark):
+    import time
+
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(119_999)), lambda i: F.concat(F.lit("W "), (i % 60_000).cast("string"))).alias("x"))
+    took = time.time()
+    got = rows.select(tx.ordered_distinct("x").alias("y")).first()["y"]
+    assert got == [f"W {i}" for i in range(60_000)] and time.time() - took < 20
+    mixed = spark.createDataFrame([(["b", " A", None, "a ", "B", "", "c  d", "C d"],)], "x array<string>")
+    assert mixed.select(tx.ordered_distinct("x").alias("y")).first()["y"] == ["b", "A", "c d"]
+    assert mixed.select(tx.ordered_distinct("x", False).alias("y")).first()["y"] == ["b", " A", "c  d", "C d"]
