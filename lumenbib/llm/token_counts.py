@@ -13,6 +13,11 @@ Neighbours without a common place (one word may be longer than any overlap) are
 one seam between the chunk before the run and the one behind it, whose overlap doubles until a common place is found.
 The end of the text always is one.
 
+A text that is encoded at once is cut in front of each blank that a visible character follows: the split begins a word
+there whatever stands before, and looks ahead across it for nothing but whether blanks end. So it does with a mark
+behind a letter. A task counts each distinct
+unit once while it remembers it. Texts with a special token's string are encoded whole, as it ends the split's view.
+
 Null and empty texts have no tokens. Repeated rows, null ids and repeated ids are rows of their own; ids may have any
 type; columns other than id and text are not looked at; an empty table gives an empty table. Strings of the special
 tokens inside a text are special tokens, as the library has it. Tokenizers without a byte-level split by pattern, or
@@ -24,6 +29,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +44,16 @@ from lumenbib.session import cut_lineage, shuffle_width
 CHUNK, OVERLAP = 1 << 15, 512
 AHEAD = 4  # characters the split looks at beyond the start of a word: two letters behind an apostrophe, and one
 SLICE = 1 << 18
+UNITS, UNIT_SIZE = 1 << 19, 64  # units that a task remembers, and their longest
+
+
+UNIT = re.compile(r" (?=\S)|(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])(?=[.,;:!?)])")
+
+
+def units(text: str) -> list[str]:
+    """``text`` cut in front of each blank that a visible character follows, and of marks behind a letter."""
+    cuts = [m.start() for m in UNIT.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) if a < b]
 
 
 class Counter:
@@ -57,12 +73,33 @@ class Counter:
         self.model.no_truncation()
         self.model.no_padding()
         self.model.post_processor = None
+        self.special = [t["content"] for t in added]
+        self.known: dict[str, int] = {}
         self.margin = AHEAD + max([len(t["content"]) for t in added], default=0)
 
     def counts(self, texts: list[str]) -> list[int]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [len(x) for x in found]
 
+    def counts_by_units(self, texts: list[str]) -> list[int]:
+        """The same, each distinct unit once."""
+        if len(self.known) > UNITS:
+            self.known = {}
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        apart = set(whole)
+        cut = [[] if i in apart else units(t) for i, t in enumerate(texts)]
+        known = self.known
+        new = list({u for us in cut for u in us if u not in known})
+        fresh = dict(zip(new, self.counts(new), strict=True))
+        known.update((u, n) for u, n in fresh.items() if len(u) <= UNIT_SIZE)
+        if any(len(u) > UNIT_SIZE for u in new):
+            out = [sum(known[u] if u in known else fresh[u] for u in us) for us in cut]
+        else:
+            out = [sum(map(known.__getitem__, us)) for us in cut]
+        for i, n in zip(whole, self.counts([texts[i] for i in whole]), strict=True):
+            out[i] = n
+        return out
+
     def places(self, text: str, ends: bool) -> tuple[int, np.ndarray, np.ndarray]:
         """Number of tokens; proven starts of words; tokens before each. ``ends``: the text really ends here."""
         found = self.model.encode(text, add_special_tokens=False)
@@ -179,7 +216,7 @@ def token_counts(
         own = counter(path)
         for batch in batches:
             texts = batch.tolist()
-            yield pd.Series([n for a, b in slices(texts, SLICE) for n in own.counts(texts[a:b])], dtype="int64")
+            yield pd.Series([n for a, b in slices(texts, SLICE) for n in own.counts_by_units(texts[a:b])], dtype="int64")
 
     short = spread_small(rows.filter(F.char_length("text") <= chunk)).select("doc_id", n_bytes, count("text").alias("n_tokens"))
     long = rows.filter(F.char_length("text") > chunk).withColumn("row", F.monotonically_increasing_id())

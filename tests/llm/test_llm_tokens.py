@@ -133,3 +133,22 @@ def test_plan_covers_the_histogram_and_reduction_is_safe():
         left = sorted((x for x, n in rest.items() for _ in range(n)), reverse=True)
         # What is fixed costs nothing: the best packing of the rest makes the best packing of all.
         assert sum(fixed.values()) + (least_bins(left, capacity) if left else 0) == least_bins(items, capacity)
+
+
+def test_each_unit_of_a_task_is_counted_once_and_sums_equal_the_library():
+    import random
+
+    import public_tokenizers
+    from lumenbib.llm.token_counts import Counter
+
+    own, draw = Counter(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    blanks = [" ", " ", "  ", "\t", "\n", "\x85", "\xa0", " ", "　", "\x1c", "​"]
+    signs = [*"abcXYZ012'.,-é中ßµ²)", "'s", "'ll", "́", "\U0001f600", "<|endoftext|>", "don't", "word", "x" * 70]
+    texts = ["".join(draw.choice(blanks if draw.random() < 0.45 else signs) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
+    want = own.counts(texts)
+    assert own.counts_by_units(texts) == want
+    seen, plain = [], own.counts
+    own.counts = lambda ts: seen.extend(ts) or plain(ts)
+    own.known = {}
+    again = ["the cat, the dog. the cat"] * 50
+    assert own.counts_by_units(again) == plain(again) and len(seen) == len(set(seen)) < 10
