@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from array import array
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenbib.functions import text as tx
 from lumenbib.operators import candidates as ca
@@ -41,16 +45,27 @@ def shown(found: DataFrame) -> DataFrame:
     return found.select("seq", *columns, F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract_md5"), *lists, "source_database")
 
 
-def word_index(spark, sf) -> DataFrame:
-    """Word-to-positions map of every abstract, built by grouping (no nested loops)."""
-    words = papers(spark, sf).select("seq", F.posexplode(F.split(F.btrim("abstract", F.lit(" \t\n\r")), r"[ \t\n\r]+")).alias("pos", "word"))
-    placed = words.groupBy("seq", "word").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    return placed.groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("word_index"))
+@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def word_index(texts: pa.Array) -> pa.Array:
+    """Word-to-positions map of each text; nothing leaves the row."""
+    words, at, word_ends, text_ends = [], array("i"), array("i", [0]), [0]
+    for text in texts.to_pylist():
+        places: dict[str, list[int]] = {}
+        for i, word in enumerate(re.split("[ \t\n\r]+", text.strip(" \t\n\r")) if text is not None else ()):
+            places.setdefault(word, []).append(i)
+        for word, own in places.items():
+            words.append(word)
+            at.extend(own)
+            word_ends.append(len(at))
+        text_ends.append(len(words))
+    given = [None if missing else end for end, missing in zip(text_ends, texts.is_null().to_pylist())]
+    lists = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), pa.array(at, pa.int32()))
+    return pa.MapArray.from_arrays(pa.array([*given, text_ends[-1]], pa.int32()), pa.array(words, pa.string()), lists)
 
 
 @query
 def openalex_records(spark, sf):
-    p = papers(spark, sf).join(word_index(spark, sf), "seq")
+    p = papers(spark, sf)
     place = F.struct(
         F.col("pdf_url"),
         F.col("landing_page_url"),
@@ -69,7 +84,7 @@ def openalex_records(spark, sf):
         F.col("year").alias("publication_year"),
         F.col("citation_count").alias("cited_by_count"),
         F.col("paper_type").alias("type"),
-        F.col("word_index").alias("abstract_inverted_index"),
+        word_index("abstract").alias("abstract_inverted_index"),
         F.transform("authors", lambda a: F.struct(F.struct(a.alias("display_name")).alias("author"))).alias("authorships"),
         named("keywords").alias("keywords"),
         named("concepts").alias("concepts"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenbib.functions.text import (
+    let,
     missing_if_blank,
     no_nulls,
     non_blank,
@@ -81,15 +82,21 @@ def _names(items: Column, field: str) -> Column:
 
 
 def restore_abstract(index: Column | str) -> Column:
-    """Text from a word-to-positions map."""
+    """Text from a word-to-positions map; words at one position stand in their own order.
+
+    Numbers are sorted, not structs: a position and the place of its word among the sorted entries.
+    """
     index = F.col(index) if isinstance(index, str) else index
-    placed = F.flatten(
-        F.transform(
-            F.map_entries(index),
-            lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word"))),
-        )
-    )
-    return missing_if_blank(F.array_join(F.transform(F.array_sort(placed), lambda p: p["word"]), " "))
+
+    def text(entries: Column) -> Column:
+        def number(p: Column, k: Column) -> Column:
+            return F.shiftleft(F.coalesce(p, F.lit(-(1 << 31))).cast("long"), 32).bitwiseOR(k.cast("long"))
+
+        placed = F.flatten(F.transform(entries, lambda e, k: F.transform(e["value"], lambda p: number(p, k))))
+        own = F.transform(F.sort_array(placed), lambda x: F.get(entries, x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))["key"])
+        return F.array_join(own, " ")
+
+    return missing_if_blank(let(F.sort_array(F.map_entries(index)), text))
 
 
 def _position(df: DataFrame) -> list[Column]:
