@@ -3,7 +3,8 @@
 A query is a conjunction of groups of alternatives, each a word or a phrase; a quoted part of a query is one phrase. A
 paper can only match when it holds all tokens of an alternative of each group, so every query probes with the rarest
 tokens of its cheapest group, and the places of its other tokens are looked up by paper and token for what comes back.
-A frequent word drives the probe only where every group has one; its postings are then dealt out by paper.
+A frequent word drives the probe only where every group has one. Queries that a task can hold are broadcast to the papers,
+whose tokens stay in their rows; more of them meet an index that is dealt out by token and, for frequent ones, by paper.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lumenbib.functions.text import normalize_title, squeeze, words
 from lumenbib.operators.expand import concept_pool, query_pool
-from lumenbib.operators.postings import last_word, phrase, postings, probe
+from lumenbib.operators import postings
+from lumenbib.operators.postings import last_word, phrase
 from lumenbib.session import cut_lineage
 
 # Search modes in turn, share of each source, least share.
@@ -137,9 +139,28 @@ def search(queries: DataFrame, papers: DataFrame, year_from: int | None = None,
     prepared = cut_lineage(asked.repartition("query_id"))
     phrases = prepared.select("query_id", F.explode(F.concat(F.flatten("groups"), "words")).alias("p"))
     tokens = phrases.select("query_id", (F.size("p.tokens") > 1).alias("spots_needed"), F.explode("p.tokens.token").alias("token"))
-    index = postings(papers, tokens.groupBy("token").agg(F.max("spots_needed").alias("spots_needed")))
-    frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (
+    wanted = cut_lineage(tokens.groupBy("token").agg(F.max("spots_needed").alias("spots_needed")))
+    few = wanted.count() <= postings.BROADCAST_TOKENS and prepared.count() <= postings.BROADCAST_QUERIES
+    seen = _seen_in_rows(prepared, papers, wanted) if few else _seen_by_index(prepared, papers, wanted, tokens)
+    limit = (
+        F.when(F.col("mode") == "title", F.col("title_words"))
+        .when(F.col("mode") == "title_abstract", F.col("both_words"))
+        .otherwise(F.lit(1 << 30))
+    )
+    found = F.col("found")
+    matched = F.forall("groups", lambda g: F.exists(g, lambda p: F.coalesce(last_word(p, found) < limit, F.lit(False))))
+
+    def share(most: str) -> Column:
+        hits = F.size(F.filter("words", lambda p: F.coalesce(last_word(p, found) < F.col(most), F.lit(False))))
+        return 100.0 * hits / F.greatest(F.lit(1), F.size("words"))
+
+    relevance = 0.30 * share("title_words") + 0.25 * share("both_words")
+    return seen.filter(matched).select(*queries.columns, "seq", "year", relevance.alias("relevance"))
+
+
+def _rarest(prepared: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``(query_id, probe)``: the rarest tokens ``(df, token)`` of the alternatives of each query's cheapest group."""
+    return (
         prepared.select("query_id", F.posexplode("groups").alias("g", "alternatives"))
         .select("query_id", "g", F.posexplode("alternatives").alias("a", "p"))
         .select("query_id", "g", "a", F.explode("p.tokens.token").alias("token"))
@@ -150,32 +171,41 @@ def search(queries: DataFrame, papers: DataFrame, year_from: int | None = None,
         .agg(F.sum("rare.df").alias("cost"), F.collect_set("rare").alias("probe"))
         .groupBy("query_id")
         .agg(F.min(F.struct("cost", "g", "probe")).alias("best"))
-        .select("query_id", F.inline("best.probe"))
+        .select("query_id", "best.probe")
     )
+
+
+def _seen_in_rows(prepared: DataFrame, papers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Queries beside the papers that hold a probe of theirs, with the tokens ``found`` in the paper.
+
+    Queries are few and go to the papers: a paper's tokens stay in its row, no posting is shuffled.
+    """
+    held = postings.held_tokens(papers, wanted)
+    frequency = held.select(F.explode(F.map_keys("found")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    probes = _rarest(prepared, frequency).withColumn("probes", F.transform("probe", lambda p: p["token"])).select("query_id", "probes")
+    asked = cut_lineage(prepared.join(probes, "query_id").withColumn("token", F.explode("probes")))
+    met = held.select("*", F.explode(F.map_keys("found")).alias("token")).join(F.broadcast(asked), "token")
+    met = met.filter(F.col("source").isNull() | (F.col("source") == F.col("source_database")))
+    # A paper that holds several probes of a query is met once, by the first of them.
+    first = F.get(F.filter("probes", lambda t: F.map_contains_key("found", t)), F.lit(0))
+    return met.filter((F.size("probes") == 1) | (F.col("token") == first)).drop("token", "probes", "source_database")
+
+
+def _seen_by_index(prepared: DataFrame, papers: DataFrame, wanted: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The same for more queries than a task can hold, by an index that is dealt out by token."""
+    index = postings.postings(papers, wanted)
+    frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = _rarest(prepared, frequency).select("query_id", F.inline("probe"))
     needed = tokens.groupBy("query_id").agg(F.collect_set("token").alias("needed"))
     rare = rarest.filter("df > 0").join(prepared.select("query_id", "source"), "query_id").join(needed, "query_id")
-    met = probe(rare, index).filter(F.col("source").isNull() | (F.col("source") == F.col("source_database")))
+    met = postings.probe(rare, index).filter(F.col("source").isNull() | (F.col("source") == F.col("source_database")))
     candidates = met.dropDuplicates(["query_id", "seq"]).select("query_id", "seq", F.explode("needed").alias("token"))
     entry = F.struct("token", F.struct("first", "spots"))
     looked_up = candidates.join(index.drop("source_database"), ["seq", "token"])
     looked_up = looked_up.groupBy("query_id", "seq", "year", "title_words", "both_words").agg(
         F.map_from_entries(F.collect_list(entry)).alias("found")
     )
-    seen = looked_up.join(prepared, "query_id")
-    limit = (
-        F.when(F.col("mode") == "title", F.col("title_words"))
-        .when(F.col("mode") == "title_abstract", F.col("both_words"))
-        .otherwise(F.lit(1 << 30))
-    )
-    found = F.col("found")
-    matched = F.forall("groups", lambda g: F.exists(g, lambda p: F.coalesce(last_word(p, found) < limit, F.lit(False))))
-
-    def share(most: str) -> Column:
-        hits = F.size(F.filter("words", lambda p: F.coalesce(last_word(p, found) < F.col(most), F.lit(False))))
-        return 100.0 * hits / F.greatest(F.lit(1), F.size("words"))
-
-    relevance = 0.30 * share("title_words") + 0.25 * share("both_words")
-    return seen.filter(matched).select(*queries.columns, "seq", "year", relevance.alias("relevance"))
+    return looked_up.join(prepared, "query_id")
 
 
 def top_hits(hits: DataFrame, limit: str | int = "hits", newest: str | None = None, largest: int | None = None) -> DataFrame:

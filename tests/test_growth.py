@@ -1,5 +1,8 @@
 """Steps that read their input once and hold little of it, however large the table is."""
 
+import random
+
+from lumenbib.operators import postings, retrieve
 from lumenbib.plans import source_queries
 from lumenbib.sources import records as rd
 
@@ -19,3 +22,33 @@ def test_word_map_stays_in_its_row_and_comes_back_in_order(spark, data):
     assert odd.select(rd.restore_abstract("m").alias("t")).first()["t"] == "w y y z z"
     found = plan(source_queries.openalex_records(spark, data))
     assert "hashpartitioning" not in found and "Join" not in found
+
+
+PAPER = "seq long, title string, abstract string, keywords array<string>, source_database string, year int"
+
+
+def test_few_queries_meet_papers_in_their_rows(spark, monkeypatch):
+    draw = random.Random(8)
+    words = ["a", "b", "c", "d", "碳中", "中和a", "e"]
+
+    def text(n):
+        return " ".join(draw.choices(words, k=draw.randint(0, n)))
+
+    rows = [(i, text(4), text(9) if i % 7 else None, [text(2)] if i % 5 else None, draw.choice(["OpenAlex", "arXiv"]), 2000 + i % 9) for i in range(150)]
+    table = spark.createDataFrame(rows, PAPER)
+    asked = ["a b", '"a b" c', "a AND b OR c", "d OR e AND a OR b", "碳中", "碳 d", '"碳中 a"', "zz OR a AND b", "zz"]
+    modes, sources = ["default", "title", "title_abstract"], [None, "arXiv"]
+    ask = [(i, q, modes[i % 3], sources[i % 2]) for i, q in enumerate(asked * 6)]
+    given = spark.createDataFrame(ask, "query_id int, query string, mode string, source string")
+    in_rows = retrieve.search(given, table)
+    assert "hashpartitioning" not in plan(in_rows)
+    got = sorted(map(tuple, in_rows.collect()), key=str)
+    monkeypatch.setattr(postings, "BROADCAST_QUERIES", 0)
+    assert got == sorted(map(tuple, retrieve.search(given, table).collect()), key=str)
+    assert len(got) > 200 and len(got) == len({(r[0], r[4]) for r in got})
+
+
+def test_words_of_title_and_abstract_are_counted_without_keywords(spark):
+    rows = [(1, "A b", " c-d ", ["e f", ""], "x", 1), (2, None, None, None, "x", 1), (3, "", "?", ["e"], "x", 1)]
+    got = postings.paper_texts(spark.createDataFrame(rows, PAPER)).orderBy("seq").collect()
+    assert [(r["title_words"], r["both_words"]) for r in got] == [(2, 4), (0, 0), (0, 0)]
