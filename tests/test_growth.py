@@ -3,7 +3,7 @@
 import random
 
 from lumenbib.operators import postings, retrieve
-from lumenbib.plans import source_queries
+from lumenbib.plans import queries, source_queries
 from lumenbib.sources import records as rd
 
 
@@ -52,3 +52,8 @@ def test_words_of_title_and_abstract_are_counted_without_keywords(spark):
     rows = [(1, "A b", " c-d ", ["e f", ""], "x", 1), (2, None, None, None, "x", 1), (3, "", "?", ["e"], "x", 1)]
     got = postings.paper_texts(spark.createDataFrame(rows, PAPER)).orderBy("seq").collect()
     assert [(r["title_words"], r["both_words"]) for r in got] == [(2, 4), (0, 0), (0, 0)]
+
+
+def test_papers_are_scored_once(spark, data):
+    assert "documents.parquet" not in plan(queries.card_index(spark, data))
+    assert "documents.parquet" not in plan(queries.download_plan(spark, data))
