@@ -1,7 +1,9 @@
 """Steps that read their input once and hold little of it, however large the table is."""
 
 import random
+import tracemalloc
 
+from lumenbib.functions import similarity
 from lumenbib.operators import postings, retrieve
 from lumenbib.plans import queries, source_queries
 from lumenbib.sources import records as rd
@@ -57,3 +59,17 @@ def test_words_of_title_and_abstract_are_counted_without_keywords(spark):
 def test_papers_are_scored_once(spark, data):
     assert "documents.parquet" not in plan(queries.card_index(spark, data))
     assert "documents.parquet" not in plan(queries.download_plan(spark, data))
+
+
+def test_set_ratios_hold_few_rows_at_a_time():
+    draw = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(draw.choices(words, k=200)) for _ in range(4000)]
+    near = [t.split(" ", 3)[2] + " some topic" for t in texts]
+    tracemalloc.start()
+    got = similarity.token_set_ratio_values(texts, near)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 60, peak
+    one = [similarity.token_set_ratio_values([a], [b])[0] for a, b in zip(texts[::200], near[::200])]
+    assert got[::200].tolist() == one
