@@ -6,8 +6,9 @@ link; inside a band's block, points are sorted by their number of set bits, comp
 counts differ by more than the radius are skipped, as are such tile pairs of blocks that are too large for one task.
 Tasks return forests of their links, which alternating stars turn into components.
 
-The pipeline's stage (``one_of_each``) takes longer shingles and a similarity that fingerprints tell badly (at a Jaccard
-similarity of 0.8 they differ in 9.7 of 64 bits on average): its candidates come from bands of least hashes and are verified.
+The pipeline's stage (``one_of_each``) takes longer shingles and verifies its links on the texts. Its candidates are the links
+of the same tiles; as fingerprints tell its similarity badly (at a Jaccard similarity of 0.8 they differ in 9.7 of 64 bits on
+average), bands of least hashes add those beyond the radius.
 
 Texts: null counts as empty; a text without words has fingerprint zero and is linked like any other. Rows that repeat
 an id each get a row; a null id gets the component of its text, named by the smallest id that is not null (null if
@@ -17,7 +18,7 @@ there is none). An empty table gives an empty table. Only the id and text column
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,11 +52,20 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(parts))
     starts, ends = starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()
-    counts, of = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for i in range(0, len(starts), STEP):
-        own = np.array([of(whole[a:b], SEED) for a, b in zip(starts[i : i + STEP], ends[i : i + STEP], strict=True)], np.uint64)
+    of = xxhash.xxh64_intdigest
+    return majority(
+        np.array([of(whole[a:b], SEED) for a, b in zip(starts[i : i + STEP], ends[i : i + STEP], strict=True)], np.uint64)
+        for i in range(0, len(starts), STEP)
+    )
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for own in parts:
         counts += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+        n += len(own)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, key: str = "doc_id") -> DataFrame:
@@ -143,13 +153,18 @@ def placed(docs: DataFrame, place: str) -> DataFrame:
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Distinct hashes of a text's shingles, sorted."""
+    return np.unique(hashes(text, words))
+
+
+def hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     k, of = min(words, len(parts)), xxhash.xxh64_intdigest
     if not parts:
         return np.empty(0, np.uint64)
-    return np.unique(np.array([of(b" ".join(parts[i : i + k]), SEED) for i in range(len(parts) - k + 1)], np.uint64))
+    return np.array([of(b" ".join(parts[i : i + k]), SEED) for i in range(len(parts) - k + 1)], np.uint64)
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
@@ -171,9 +186,10 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """Adds to ``rows`` of a ``text`` the struct of ``same`` (digest of the words), ``n`` distinct shingles and ``bands``."""
+    """Adds to ``rows`` of a ``text`` the struct of ``same`` (digest of the words), ``n`` distinct shingles,
+    the fingerprint ``fp`` and ``bands``."""
 
-    @F.pandas_udf("same binary, n long, bands array<long>")
+    @F.pandas_udf("same binary, n long, fp long, bands array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -181,18 +197,22 @@ def sketches(rows: DataFrame, words: int) -> DataFrame:
             out = []
             for text in batch.fillna(""):
                 whole = b" ".join(text.encode("utf-8", "surrogatepass").translate(LOWER).split())
-                own = shingles(text, words)
-                out.append((xxhash.xxh3_128_digest(whole), len(own), band_keys(own).view(np.int64) if len(own) else []))
-            yield pd.DataFrame(out, columns=["same", "n", "bands"])
+                every = hashes(text, words)
+                own = np.unique(every)
+                fp = int(np.uint64(majority(every[i : i + STEP] for i in range(0, len(every), STEP))).view(np.int64))
+                out.append((xxhash.xxh3_128_digest(whole), len(own), fp, band_keys(own).view(np.int64) if len(own) else []))
+            yield pd.DataFrame(out, columns=["same", "n", "fp", "bands"])
 
     return rows.withColumn("sketch", run(F.col("text").cast("string")))
 
 
 def _verify_group(words: int, least: float):
-    """Links of a group's texts by exact shingle similarity; pairs that share a band and are not linked yet are compared."""
+    """Links of a group's texts by exact shingle similarity; compared are pairs that are not linked yet and lie within the
+    radius or share a band."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         at, side, n = (rows.column(c).to_numpy() for c in ("at", "side", "n"))
+        fp = rows.column("fp").to_numpy().view(np.uint64)
         bands = np.array(rows.column("bands").to_pylist(), np.int64)
         texts = rows.column("text")
         sets: dict[int, np.ndarray] = {}
@@ -208,7 +228,7 @@ def _verify_group(words: int, least: float):
             if side[p]:
                 apart = apart[side[apart] != side[p]]
             apart = apart[np.minimum(n[apart], n[p]) >= least * np.maximum(n[apart], n[p])]
-            apart = apart[(bands[apart] == bands[p]).any(axis=1)]
+            apart = apart[(np.bitwise_count(fp[apart] ^ fp[p]) <= RADIUS) | (bands[apart] == bands[p]).any(axis=1)]
             for q in apart:
                 if classes.label[q] == classes.label[p]:
                     continue
@@ -221,12 +241,27 @@ def _verify_group(words: int, least: float):
     return work
 
 
+def candidates(points: DataFrame) -> DataFrame:
+    """(node, root) of the components of candidate pairs of ``points(at, n, fp, bands)``: fingerprints within the radius, found
+    by tiles, and shared bands. Links go through one point of each fingerprint and of each band."""
+    worded = points.filter("n > 0")
+    prints = cut_lineage(worded.groupBy("fp").agg(F.min("at").alias("least")))
+    equal = worded.join(prints, "fp").filter("at <> least").select(F.col("at").alias("a"), F.col("least").alias("b"))
+    ends = [prints.select(F.col("fp").alias(f"fp_{c}"), F.col("least").alias(c)) for c in "ab"]
+    tiled = links(prints.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    close = tiled.join(ends[0], "fp_a").join(ends[1], "fp_b").select("a", "b")
+    banded = worded.select("at", F.explode("bands").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("at").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "hub")
+    met = banded.join(hubs, "key").filter("at <> hub").select(F.col("at").alias("a"), F.col("hub").alias("b"))
+    return components(equal.union(close).union(met))
+
+
 def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, least: float = LEAST_SIMILARITY, tile: int = TEXT_TILE) -> DataFrame:
     """``docs`` with one row of each group of near copies: its smallest id, null ids last, the first row of equal ids.
 
     Near copies share at least ``least`` of the distinct shingles of ``words`` words of both (Jaccard), or are linked by
-    such pairs. Candidates share one of ``BANDS`` keys of ``ROWS`` least hashes: a pair at 0.8 does with probability
-    0.9999, a closer one more surely. Every link is verified on whole texts: those of a candidate component meet once,
+    such pairs. Candidates have fingerprints within ``RADIUS`` bits, all of which the tiles find, or share one of ``BANDS`` keys
+    of ``ROWS`` least hashes: a pair at 0.8 does with probability 0.9999, a closer one more surely. Every link is verified on whole texts: those of a candidate component meet once,
     in tiles of about ``tile`` shingles whose counts can agree. Texts of the same words, also of none, are one.
 
     Rows are told apart by a number that is written with them once. Only the numbers of rows that go are joined to
@@ -237,14 +272,11 @@ def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, least: float = LEAST_
     texts = rows.select(F.col(place).alias("at"), F.col("text").cast("string").alias("text"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(place).alias("at")).alias("own"))
     prints = cut_lineage(sketches(spread_small(texts), words).select("at", "own", "sketch.*"))
     # One point for each text, named by the row number of its smallest id.
-    points = prints.groupBy("same").agg(F.min("own").alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    points = prints.groupBy("same").agg(F.min("own").alias("own"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     points = cut_lineage(points.withColumn("at", F.col("own.at")))
-    banded = points.select("at", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("at").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "hub")
-    met = banded.join(hubs, "key").filter("at <> hub").select(F.col("at").alias("a"), F.col("hub").alias("b"))
-    candidates = cut_lineage(components(met))
-    roots = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct())
-    members = points.select("at", "n", "bands").join(roots.select(F.col("node").alias("at"), F.col("root").alias("key")), "at")
+    met = cut_lineage(candidates(points))
+    roots = met.union(met.select(F.col("root").alias("node"), "root").distinct())
+    members = points.select("at", "n", "fp", "bands").join(roots.select(F.col("node").alias("at"), F.col("root").alias("key")), "at")
     # Counts of a verified pair differ by less than a factor of 1 / least: the logarithms' whole parts by one at most.
     size = F.floor(F.log("n") / F.lit(-float(np.log(least))) + 1e-9)
     whole = cut_lineage(members.join(texts.select("at", "text"), "at"))
