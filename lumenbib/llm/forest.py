@@ -5,12 +5,17 @@ Tasks hand on a forest of what they linked (at most one edge a node), never all
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenbib.session import cut_lineage
 
+FEW = 1 << 14  # links that one task turns into components
+
 
 class LocalClasses:
     """Classes of ``n`` points of a task under links that arrive in bulk; a class is named by its first point."""
@@ -47,11 +52,28 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _at_once(edges: DataFrame) -> DataFrame:
+    """(node, root) of a few edges, by one task; its rows are dealt out again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([b.column(c).to_numpy() for c in ("a", "b")]) for b in batches if b.num_rows]
+        if held:
+            nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            classes = LocalClasses(len(nodes))
+            classes.link(*ends.reshape(2, -1))
+            own, root = classes.forest()
+            yield pa.RecordBatch.from_pydict({"node": nodes[own], "root": nodes[root]})
+
+    return cut_lineage(edges.select("a", "b").repartition(1).mapInArrow(run, "node long, root long").repartition("node"))
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)`` that is not the smallest of its component.
 
-    Alternating large and small stars: a node with very many neighbours is aggregated before it is joined, and the
-    joins can be split. The number of rounds follows the logarithm of the longest path. Each round is checkpointed.
+    Up to ``few`` edges are one task's: a round of stars takes seven shuffles however few the edges are, and the driver
+    keeps a thread for each shuffle of the last minute. More take alternating large and small stars: a node with very many
+    neighbours is aggregated before it is joined, and the joins can be split. The number of rounds follows the logarithm of
+    the longest path. Each round is checkpointed.
     """
     now = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
@@ -59,5 +81,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == state or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if mark[0] <= few:
+            return _at_once(now)
         state = mark
         now = cut_lineage(_stars(now))

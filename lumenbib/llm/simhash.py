@@ -248,7 +248,7 @@ def candidates(points: DataFrame) -> DataFrame:
     prints = cut_lineage(worded.groupBy("fp").agg(F.min("at").alias("least")))
     equal = worded.join(prints, "fp").filter("at <> least").select(F.col("at").alias("a"), F.col("least").alias("b"))
     ends = [prints.select(F.col("fp").alias(f"fp_{c}"), F.col("least").alias(c)) for c in "ab"]
-    tiled = links(prints.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    tiled = cut_lineage(links(prints.select("fp"))).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
     close = tiled.join(ends[0], "fp_a").join(ends[1], "fp_b").select("a", "b")
     banded = worded.select("at", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("at").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "hub")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbib.llm.common import held_out, labelled_sample, spread_small
+from lumenbib.llm.common import give_back, held_out, labelled_sample, spread_small
 from lumenbib.llm.linear import Scale, fit_hinge, fit_scale, rows_of
 from lumenbib.llm.words import Memo
 
@@ -102,9 +102,27 @@ def first_copies(rows: list[np.ndarray]) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def strength(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
-    """Smoothed log-odds of each feature between the classes less 2.5 standard errors; copies count once."""
-    counts = [np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)]
+def numbered(rows: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The features that can vote or be chosen, in order, and ``rows`` of their places there.
+
+    Those are the seeds, the patterns and what ``LEAST_DOCS`` rows hold. The steps after it hold vectors of these, not of
+    all ``SIZE`` features, of which a driver would need several at once.
+    """
+    place = np.zeros(SIZE, np.int32)
+    for own in rows:
+        place[own] += 1
+    place[[f for own in _features(SEEDS) for f in own[:1]]] = LEAST_DOCS
+    place[PATTERN_BASE:] = LEAST_DOCS
+    used = np.flatnonzero(place >= LEAST_DOCS)
+    place.fill(-1)
+    place[used] = np.arange(len(used))
+    held = (place[own] for own in rows)
+    return used, [own[own >= 0] for own in held]
+
+
+def strength(rows: list[np.ndarray], positive: np.ndarray, size: int) -> np.ndarray:
+    """Smoothed log-odds of each of ``size`` features between the classes less 2.5 standard errors; copies count once."""
+    counts = [np.zeros(size, np.float32), np.zeros(size, np.float32)]
     for own, y in zip(rows, positive, strict=True):
         counts[int(y)][own] += 1
     up, down = int(positive.sum()), int((~positive).sum())
@@ -113,16 +131,17 @@ def strength(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     return np.where(counts[1] < LEAST_DOCS, -np.inf, low)
 
 
-def votes(rows: list[np.ndarray], odds: np.ndarray) -> np.ndarray:
+def votes(rows: list[np.ndarray], odds: np.ndarray, used: np.ndarray) -> np.ndarray:
     """Documents by voters: 1 toxic, -1 clean, 0 no vote. Columns: lexicons by kind and strength, several hits of a
-    kind, no hit of a kind, the seeds, the patterns."""
+    kind, no hit of a kind, the seeds, the patterns. ``rows`` and ``odds`` follow the features ``used``."""
     level = np.digitize(odds, STRENGTHS)
-    level[PATTERN_BASE:] = 0
+    level[used >= PATTERN_BASE] = 0
     seeds = {f for own in _features(SEEDS) for f in own[:1]}
     tiers = len(STRENGTHS)
     out = np.zeros((len(rows), KINDS * (tiers + 2) + 1 + len(PATTERNS)), np.int8)
-    for i, own in enumerate(rows):
-        tier, kind = level[own], own >> BITS
+    for i, places in enumerate(rows):
+        own = used[places]
+        tier, kind = level[places], own >> BITS
         for k in range(KINDS):
             hits = tier[(kind == k) & (tier > 0)]
             at = k * (tiers + 2)
@@ -191,13 +210,14 @@ def fit(rows: list[np.ndarray], positive: np.ndarray) -> ToxicityModel:
         return ToxicityModel({}, 0.0, Scale(1.0, float(np.log(share / (1 - share)))))
     share = float(np.clip(positive.mean(), 0.01, 0.5))
     alone = first_copies(rows)
-    rows, positive = [rows[i] for i in alone], positive[alone]
+    used, rows = numbered([rows[i] for i in alone])
+    positive = positive[alone]
     # Lexicons come from one half and vote in the other, and the other way round, so that no vote knows its own label.
     half = np.arange(len(rows)) % 2 == 0
     cast = None
     for part in (half, ~half):
-        odds = strength([r for r, h in zip(rows, part, strict=True) if h], positive[part])
-        own = votes([r for r, h in zip(rows, part, strict=True) if not h], odds)
+        odds = strength([r for r, h in zip(rows, part, strict=True) if h], positive[part], len(used))
+        own = votes([r for r, h in zip(rows, part, strict=True) if not h], odds, used)
         if cast is None:
             cast = np.zeros((len(rows), own.shape[1]), np.int8)
         cast[~part] = own
@@ -206,8 +226,7 @@ def fit(rows: list[np.ndarray], positive: np.ndarray) -> ToxicityModel:
     if labels.all() or not labels.any():
         labels = positive
     # The classifier sees features that the posterior labels call typical, in either direction.
-    chosen = np.flatnonzero(strength(rows, labels) > STRENGTHS[0])
-    chosen = np.union1d(chosen, PATTERN_BASE + np.arange(len(PATTERNS)))
+    chosen = np.flatnonzero((strength(rows, labels, len(used)) > STRENGTHS[0]) | (used >= PATTERN_BASE))
     kept = [np.searchsorted(chosen, r[np.isin(r, chosen)]) for r in rows]
     data = rows_of(kept)
     signs, cost = np.where(labels, 1.0, -1.0), np.abs(2 * posterior - 1) + 0.05
@@ -217,8 +236,8 @@ def fit(rows: list[np.ndarray], positive: np.ndarray) -> ToxicityModel:
         part = fit_hinge(data.take(seen_rows), signs[seen_rows], len(chosen), cost=cost[seen_rows])
         margins[rest] = part.margins(data.take(rest))
     model = fit_hinge(data, signs, len(chosen), cost=cost)
-    used = np.flatnonzero(model.weights)
-    weights = dict(zip(chosen[used].tolist(), model.weights[used].tolist(), strict=True))
+    own = np.flatnonzero(model.weights)
+    weights = dict(zip(used[chosen[own]].tolist(), model.weights[own].tolist(), strict=True))
     return ToxicityModel(weights, model.bias, fit_scale(margins, positive))
 
 
@@ -230,9 +249,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> ToxicityMod
             yield pd.Series([np.array(of(t), "<i4").tobytes() for t in batch.fillna("")])
 
     sample = labelled_sample(docs, labels, "toxic", bound, features)
-    rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["f"])))
-    positive = np.array([r["label"] == 1 for r in rows], bool)
-    return fit([np.frombuffer(r["f"], "<i4") for r in rows], positive)
+    found = sample.orderBy("doc_id", "f").select("label", "f").toArrow()  # the features stay in Arrow's buffers
+    positive = np.array([y == 1 for y in found.column("label").to_pylist()], bool)
+    model = fit([np.frombuffer(x.as_buffer(), "<i4") for x in found.column("f")], positive)
+    del found
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "score") -> DataFrame:

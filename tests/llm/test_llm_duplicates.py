@@ -42,6 +42,20 @@ def test_long_paths_and_stars_become_components(spark):
     assert forest.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_take_few_shuffles(spark):
+    """The driver keeps a thread for each shuffle of the last minute, so a few links are not worth rounds of stars."""
+    pairs = [((i * 37) % 301, ((i + 1) * 37) % 301) for i in range(300)] + [(400, i) for i in range(401, 450)] + [(500, 500)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    context, found, jobs = spark.sparkContext, [], []
+    for k, how in enumerate(({}, {"few": 0})):
+        context.setJobGroup(f"links-{k}", "links")
+        found.append(dict(map(tuple, forest.components(edges, **how).collect())))
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"links-{k}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] == {i: r for i, r in enumerate(roots_of(501, pairs)) if r != i}
+    assert jobs[0] <= 10 < jobs[1]
+
+
 def test_local_classes():
     rng = np.random.default_rng(1)
     for _ in range(30):

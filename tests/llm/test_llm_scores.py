@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, edge cases, and the fitted parts against plain versions."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -86,6 +87,41 @@ def test_label_model_weighs_voters():
     assert abs(model.ratios[5, 2]) < 0.3 < model.ratios[1, 2]
 
 
+def toxic_rows(n=400):
+    """Feature rows and labels, with words that are typical of toxic rows, and one seed word in a single row."""
+    rng = np.random.default_rng(3)
+    positive = rng.random(n) < 0.4
+    seed = toxicity._features(["idiot"])[0][0]
+    rows = []
+    for i in range(n):
+        own = {*rng.integers(0, 5000, 40).tolist(), *rng.integers(0, toxicity.PATTERN_BASE, 40).tolist()}
+        own |= {*rng.choice(np.arange(9000, 9040), 6).tolist()} if positive[i] else set()
+        own |= {seed, toxicity.PATTERN_BASE + 2} if i == 7 else set()
+        rows.append(np.array(sorted(own), np.int32))
+    return rows, positive, seed
+
+
+def test_toxicity_fit_holds_no_vectors_of_all_features():
+    rows, positive, _ = toxic_rows()
+    toxicity.fit(rows, positive)
+    tracemalloc.start()
+    model = toxicity.fit(rows, positive)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert any(9000 <= f < 9040 for f in model.weights)
+    assert peak < 50
+
+
+def test_numbered_features_give_the_odds_of_all():
+    rows, positive, seed = toxic_rows()
+    used, places = toxicity.numbered(rows)
+    assert seed in used and toxicity.PATTERN_BASE + 2 in used
+    assert all(used[own].tolist() == row[np.isin(row, used)].tolist() for own, row in zip(places, rows, strict=True))
+    whole = toxicity.strength(rows, positive, toxicity.SIZE)
+    assert np.array_equal(toxicity.strength(places, positive, len(used)), whole[used])
+    assert np.isin(np.flatnonzero(np.isfinite(whole)), used).all()
+
+
 def test_languages(spark, edge_docs, no_docs):
     docs = spark.read.parquet(f"{WIDE}/documents.parquet")
     rows = {r["doc_id"]: r for r in check(langid.identify(docs), docs, lambda r: True)}
