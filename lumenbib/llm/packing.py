@@ -22,6 +22,7 @@ from struct import pack as packed
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,7 @@ from lumenbib.session import cut_lineage, shuffle_width
 CAPACITY = 4096
 END_ID = 1
 JOINED, KEPT = 4096, 300_000
+MERGED = 16  # partitions of texts whose pieces make one partition
 PART_CHARS = 1 << 17  # texts split at once: their words stay in the processor's cache
 MARKS = ".,;:!?"
 # A mark that ends a word behind a Latin-1 letter; others may turn into a letter and a combining mark, which a mark
@@ -108,35 +110,38 @@ def text_ids(texts: list[str], known: Memo, end_id: int = END_ID) -> Iterator[by
         k += len(p)
 
 
-PIECE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("piece", T.IntegerType()),
-            T.StructField("start", T.LongType()),
-            T.StructField("length", T.LongType()),
-            T.StructField("ids_crc32", T.LongType()),
-        ]
-    )
+PIECE = T.StructType(
+    [
+        T.StructField("piece", T.IntegerType()),
+        T.StructField("start", T.LongType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("ids_crc32", T.LongType()),
+    ]
 )
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Documents as pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32."""
     step = 4 * capacity
+    rows = spread_small(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    kind = T.StructType([rows.schema["doc_id"], *PIECE.fields])
 
-    @F.pandas_udf(PIECE)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = word_ids(path)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, names = word_ids(path), kind.names
         for batch in batches:
-            texts, rows = batch.fillna("").tolist(), []
+            texts, of, own = [t or "" for t in batch.column(1).to_pylist()], [], []
             for a, b in slices(texts, PART_CHARS):
-                for whole in text_ids(texts[a:b], known, end_id):
-                    own = [whole[at : at + step] for at in range(0, len(whole), step)]
-                    rows.append([(k, k * capacity, len(x) // 4, zlib.crc32(x)) for k, x in enumerate(own)])
-            yield pd.Series(rows, dtype=object)
+                for i, whole in enumerate(text_ids(texts[a:b], known, end_id), a):
+                    for k, at in enumerate(range(0, len(whole), step)):
+                        x = whole[at : at + step]
+                        of.append(i)
+                        own.append((k, k * capacity, len(x) // 4, zlib.crc32(x)))
+            if own:
+                piece, *others = zip(*own, strict=True)
+                ids = batch.column(0).take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in others)], names)
 
-    rows = spread_small(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    return rows.select("doc_id", F.explode(cut("text")).alias("p")).select("doc_id", "p.*")
+    return rows.mapInArrow(cut, kind)  # texts go to Python alone: no row waits for its result in the executor
 
 
 # ---------------------------------------------------------------- the histogram problem
@@ -276,6 +281,16 @@ def numbered(pieces: DataFrame) -> DataFrame:
     return ranked.join(offsets, ["length", "salt"]).withColumn("number", F.col("before") + F.col("own") - 1)
 
 
+def few(pieces: DataFrame) -> DataFrame:
+    """Fewer partitions of piece rows, which are a thirtieth of the texts that the session's width is meant for.
+
+    A file of some hundred rows costs more than its rows: each one that a task writes starts processes (``chmod``) on
+    file systems without Hadoop's native library.
+    """
+    session = pieces.sparkSession
+    return pieces.coalesce(max(session.sparkContext.defaultParallelism, shuffle_width(session) // MERGED))
+
+
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; the driver only sees the histogram of at most ``capacity`` rows."""
     cut = token_pieces(docs, path, capacity, end_id).withColumn("row", F.monotonically_increasing_id())
@@ -292,5 +307,5 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         k = k - own[:, 1]
         return pd.DataFrame({"sequence_id": own[:, 3] + k // own[:, 2], "offset": own[:, 4] + k % own[:, 2] * x})
 
-    placed = numbered(pieces).withColumn("at", place("length", "number"))
+    placed = few(numbered(pieces)).withColumn("at", place("length", "number"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")

@@ -75,6 +75,24 @@ def test_packing_of_edge_cases(edge_docs, no_docs):
     assert packing.pack(no_docs, WORDS).count() == 0
 
 
+def test_packing_of_many_copies_over_many_partitions_writes_few_files(spark, tmp_path):
+    texts = [(i, "the same few words") for i in range(3000)] + [(i, "other words " * (i % 97)) for i in range(3000, 4000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    held = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        packing.pack(docs, WORDS).write.parquet(f"{tmp_path}/packed")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = spark.read.parquet(f"{tmp_path}/packed").collect()
+    n = check_packing(rows, texts)
+    assert n <= -(-sum(r["length"] for r in rows) // packing.CAPACITY) + 1
+    assert len(list((tmp_path / "packed").glob("part-*"))) <= 6
+
+
 def test_tokenizer_words_are_independent():
     tokenizer, known = Tokenizer.from_file(WORDS), packing.word_ids(WORDS)
     texts = random_texts(1500)
